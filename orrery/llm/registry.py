@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, packing, pii
 
-QUERIES = {"op3_exact_dedup": exact_dedup.op3_exact_dedup}
-ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {"op3_exact_dedup": exact_dedup.op3_exact_dedup, "op9_packing": packing.op9_packing, "op10_pii": pii.op10_pii}
+ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op10_pii": pii.ORACLE}
