@@ -44,15 +44,15 @@ def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_digests, "_id long, _sha binary, _size long, _check long")
 
 
-def tree_merge(entries: DataFrame, keys: list[str], id_col: str = "_id", fan_in: int = FAN_IN, rows_per_run: int = ROWS_PER_RUN, keep: str = "max") -> DataFrame:
+def tree_merge(entries: DataFrame, keys: list[str], id_col: str = "_id", fan_in: int = FAN_IN, rows_per_run: int = ROWS_PER_RUN, keep: str = "max", rows: int | None = None) -> DataFrame:
     """``entries`` with _keep (the largest or smallest identifier with the same keys) and _group (the number of rows).
 
     Keys compare null-safe as long as they hold no nulls themselves; a null identifier is never kept while another
     is there. Rows that repeat an identifier count as often as they occur. An empty table gives an empty table.
-    All key columns are compared in every round, so that equal leading digests with unequal checks stay apart.
+    ``rows`` is how many rows there are, if that is known. All key columns are compared in every round, so that equal leading digests with unequal checks stay apart.
     """
     best = {"max": F.max, "min": F.min}[keep]
-    rows, rounds = entries.count(), MIN_ROUNDS
+    rows, rounds = entries.count() if rows is None else rows, MIN_ROUNDS
     while fan_in**rounds * rows_per_run < rows:
         rounds += 1
     entries = entries.withColumn("_run", F.pmod(F.xxhash64(id_col), F.lit(fan_in**rounds)))

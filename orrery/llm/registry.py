@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, pii
+from . import exact_dedup, packing, pii, warc
 
-QUERIES = {"op3_exact_dedup": exact_dedup.op3_exact_dedup, "op9_packing": packing.op9_packing, "op10_pii": pii.op10_pii}
-ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op10_pii": pii.ORACLE}
+QUERIES = {
+    "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_warc": warc.op4_warc,
+    "op9_packing": packing.op9_packing,
+    "op10_pii": pii.op10_pii,
+}
+ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op4_warc": warc.ORACLE, "op10_pii": pii.ORACLE}
