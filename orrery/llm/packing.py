@@ -10,9 +10,9 @@ is padded. A group is a few megabytes of neighbouring rows, so packing needs no
 from __future__ import annotations
 
 import heapq
+import json
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,73 +24,60 @@ from pyspark.sql import functions as F
 from .common import table
 
 SEQUENCE_TOKENS = 1024
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 END_OF_DOCUMENT = 0
 #: Tokens of attention that cost as much as the linear part of one token.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-CACHED_UNITS = 500_000
+# Fixed value: how byte-level BPE files of this kind split text.
+PRETOKENS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"""
 
-_encoders: dict[str, "UnitEncoder"] = {}
+_encoders: dict[str, "ByteEncoder"] = {}
 
 
-class UnitEncoder:
-    """Ids of whole texts, with one call of the tokenizer for each distinct unit.
+class ByteEncoder:
+    """The ids that a byte-level BPE file of the tokenizers library gives, by a faster encoder with the same merges.
 
-    A unit is a single space with the text up to the next single space. The byte-level pre-tokenizer always starts a
-    token at a space between two characters that aren't white space, so units can be encoded on their own. Texts in
-    which a space touches other white space, or the text's ends, go to the tokenizer whole.
+    The file's ids rank its merges, so its vocabulary is all that tiktoken needs. A text that the pattern engine gives
+    up on goes to the tokenizers library.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and where each text's begin (with the end of the last). texts holds no nulls."""
-        if not len(texts):
-            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        split = pc.split_pattern(texts, " ")
-        bounds = np.asarray(split.offsets, dtype=np.int64)
-        coded = split.flatten().dictionary_encode()
-        units, index = coded.dictionary.to_pylist(), np.asarray(coded.indices, dtype=np.int64)
-        bounds = bounds - bounds[0]
-        if len(self.known) > CACHED_UNITS:
-            self.known.clear()
-        fresh = [x for x in units if x not in self.known]
-        self.known.update(zip(fresh, self._ids([" " + x for x in fresh])))
-        odd = np.array([not x or x[0].isspace() or x[-1].isspace() for x in units], dtype=bool)
-        of_text = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        whole = np.unique(of_text[odd[index]])
-        alone = np.zeros(len(texts), bool)
-        alone[whole] = True
-        # Entries of the table: the units, then each text's first unit (or the whole text).
-        first = [units[index[b]] for b in bounds[:-1]]
-        for k in whole.tolist():
-            first[k] = texts[k].as_py()
-        entries = [self.known[x] for x in units] + self._ids(first)
-        length = np.fromiter(map(len, entries), np.int64, len(entries))
-        flat = np.fromiter(chain.from_iterable(entries), np.uint32, int(length.sum()))
-        start = np.cumsum(length) - length
-        index[bounds[:-1]] = len(units) + np.arange(len(texts))
-        used = ~alone[of_text]
-        used[bounds[:-1]] = True
-        index, of_text = index[used], of_text[used]
-        count = length[index]
-        ends = np.cumsum(count)
-        ids = flat[np.repeat(start[index] - (ends - count), count) + np.arange(int(ends[-1]))]
-        totals = np.bincount(of_text, weights=count, minlength=len(texts)).astype(np.int64)
-        return ids, np.concatenate([[0], np.cumsum(totals)])
-
-
-def encoder(path: str) -> UnitEncoder:
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
+        byte_of = {mark: value for value, mark in enumerate(byte_marks())}
+        ranks = {bytes(byte_of[c] for c in token): k for token, k in vocabulary.items()}
+        self.path, self.fast, self.plain = path, tiktoken.Encoding("own", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={}), None
+
+    def encode(self, text: str) -> np.ndarray:
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        except BaseException as e:  # the engine's panics aren't Exceptions
+            if isinstance(e, (KeyboardInterrupt, SystemExit)):
+                raise
+            return self.encode_plain(text)
+
+    def encode_plain(self, text: str) -> np.ndarray:
+        if self.plain is None:
+            from tokenizers import Tokenizer
+
+            self.plain = Tokenizer.from_file(self.path)
+            self.plain.encode_special_tokens = True
+        return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+def byte_marks() -> list[str]:
+    """The character that stands for each byte in the vocabulary: itself if printable, else the next from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
+
+
+def encoder(path: str) -> ByteEncoder:
     """One encoder for each worker process and file."""
     if path not in _encoders:
-        _encoders[path] = UnitEncoder(path)
+        _encoders[path] = ByteEncoder(path)
     return _encoders[path]
 
 
@@ -138,54 +125,43 @@ def _groups(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(begin)
 
 
-def packed_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SEQUENCE_TOKENS, group_bytes: int = GROUP_BYTES, linear: float = LINEAR, quadratic: float = QUADRATIC) -> DataFrame:
+def packed_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SEQUENCE_TOKENS, group_bytes: int = GROUP_BYTES, linear: float = LINEAR, quadratic: float = QUADRATIC, digests: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids (the piece's tokens), doc_tokens, sequence_id, offset.
 
     A document's tokens are its ids by the tokenizer without special tokens, then END_OF_DOCUMENT; null text counts as
     empty and so has one token. Rows are packed as they come, repeated ids and null ids included; other columns aren't
     looked at. An empty table gives no rows. Sequence ids are unique; which rows share a sequence depends on how the
-    input is partitioned. Every sequence is full or a power of two long.
+    input is partitioned. Every sequence is full or a power of two long. With ``digests``, ids_crc32 (of the ids as
+    little-endian unsigned 32-bit numbers) stands in place of ids.
     """
+    tokens = "ids_crc32 long" if digests else "ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequence = TaskContext.get().partitionId() << 36
+        sequence, encode = TaskContext.get().partitionId() << 36, encoder(tokenizer_path).encode
+        end = np.array([END_OF_DOCUMENT], np.uint32)
         for batch in batches:
             for part in _groups(batch, group_bytes):
-                ids, bounds = encoder(tokenizer_path).encode(pc.fill_null(part.column(1), ""))
-                lengths = np.diff(bounds) + 1
-                pieces = pack(lengths.tolist(), size, linear, quadratic)
+                ids = [np.concatenate([encode(x.as_py() or ""), end]) for x in part.column(1)]
+                pieces = pack([len(x) for x in ids], size, linear, quadratic)
                 document, start, length, number, offset = (np.array(x, np.int64) for x in zip(*pieces))
-                owned = []
-                for k, at, n, _, _ in pieces:
-                    begin = bounds[k] + at
-                    own = ids[begin : min(begin + n, bounds[k + 1])]
-                    owned.append(own if len(own) == n else np.append(own, np.uint32(END_OF_DOCUMENT)))
-                values = pa.array(np.concatenate(owned).view(np.int32), pa.int32())
+                owned = [ids[k][at : at + n] for k, at, n, _, _ in pieces]
+                if digests:
+                    held = pa.array([zlib.crc32(x.astype("<u4", copy=False)) for x in owned], pa.int64())
+                else:
+                    bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                    held = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(owned).view(np.int32)))
+                total = np.array([len(x) for x in ids], np.int64)[document]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(document)), pa.array(start), pa.array(length), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), values), pa.array(lengths[document]), pa.array(number + sequence), pa.array(offset)],
-                    ["_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+                    [part.column(0).take(pa.array(document)), pa.array(start), pa.array(length), held, pa.array(total), pa.array(number + sequence), pa.array(offset)],
+                    ["_id", "start", "length", tokens.split()[0], "doc_tokens", "sequence_id", "offset"],
                 )
                 sequence += int(number.max()) + 1
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(run, "_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long").withColumnRenamed("_id", id_col)
-
-
-def pack_digests(packed: DataFrame) -> DataFrame:
-    """``packed`` with ids_crc32 (of the piece's ids as little-endian unsigned 32-bit numbers) in place of ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("ids"))
-            flat, bounds = np.asarray(lists.values, dtype="<u4"), np.asarray(lists.offsets)
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            yield batch.set_column(batch.schema.get_field_index("ids"), "ids_crc32", pa.array(crc, pa.int64()))
-
-    schema = ", ".join("ids_crc32 long" if k == "ids" else f"{k} long" for k in packed.columns)
-    return packed.mapInArrow(run, schema)
+    return rows.mapInArrow(run, f"_id long, start long, length long, {tokens}, doc_tokens long, sequence_id long, offset long").withColumnRenamed("_id", id_col)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_digests(packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
