@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, pii, warc
+from . import exact_dedup, ngram_join, packing, pii, warc
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_warc": warc.op4_warc,
+    "op5_ngram_join": ngram_join.op5_ngram_join,
     "op9_packing": packing.op9_packing,
     "op10_pii": pii.op10_pii,
 }
