@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, ngram_join, packing, pii, warc
+from . import exact_dedup, lattice, ngram_join, packing, pii, toxicity, warc
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_warc": warc.op4_warc,
     "op5_ngram_join": ngram_join.op5_ngram_join,
+    "op7_lattice": lattice.op7_lattice,
     "op9_packing": packing.op9_packing,
     "op10_pii": pii.op10_pii,
 }
