@@ -40,6 +40,10 @@ ENTRIES_PER_BUCKET = 1 << 20
 LEAST_CHUNKS = LEAST_BUCKETS = 64
 LARGEST_BOUNDARY = 16
 SLICE_BYTES = 4 << 20
+#: Lists beyond LONG members are compared in tasks, PART members with PART at a time.
+LONG, PART = 256, 4096
+#: N-grams of up to FEW sets are counted by pairs, others by matrix products over so many columns.
+FEW, COLUMNS = 16, 1024
 _ODD = np.random.default_rng(20240501).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -159,7 +163,7 @@ def _of_classes(texts: pa.Table, ids: pa.Array, words: int) -> Iterator[tuple[in
 
 
 def candidate_keys(texts: DataFrame, classes: DataFrame, boundary: int, chunks: int, buckets: int, words: int, least: int, per: int) -> DataFrame:
-    """_id, _n, _set, _keys of every class with a key that another class may share."""
+    """_id, _n, _set, _keys and _places (how many n-grams come before each key) of every class with a key that another class may share."""
     floor = partners(boundary + 1, least, per)[0]
     blob = [("_chunk", pa.int64()), ("_hashes", pa.binary()), ("_counts", pa.binary())]
 
@@ -197,9 +201,9 @@ def candidate_keys(texts: DataFrame, classes: DataFrame, boundary: int, chunks:
         counts = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in known.column("_counts").to_pylist())])
         order = np.argsort(hashes)
         hashes, counts = hashes[order], counts[order]
-        ids, sizes, sets, keys = [], [], [], []
+        ids, sizes, sets, keys, places = [], [], [], [], []
         for k, grams in _of_classes(left, right.column("_id").combine_chunks(), words):
-            n, own = len(grams), []
+            n, own, place = len(grams), [], []
             if n and n >= floor and len(hashes):
                 lead = grams[: leading(n, least, per)]
                 at = np.minimum(np.searchsorted(hashes, lead), len(hashes) - 1)
@@ -208,16 +212,18 @@ def candidate_keys(texts: DataFrame, classes: DataFrame, boundary: int, chunks:
                 if room > 0:
                     often, lead = counts[at[seen]], lead[seen]
                     own = lead[np.lexsort((lead, often))[:room]].tolist()
+                    place = range(int((~seen).sum()), int((~seen).sum()) + len(own))
             if 0 < n <= boundary:
                 own += subset_keys(grams, least, per)
             if own:
                 ids.append(k), sizes.append(n), sets.append(grams.view(np.int64)), keys.append(np.array(own, np.uint64).view(np.int64))
-        return pa.table([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["_id", "_n", "_set", "_keys"])
+                places.append([*place, *[0] * (len(own) - len(place))])
+        return pa.table([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["_id", "_n", "_set", "_keys", "_places"])
 
     sent = texts.groupBy("_chunk").cogroup(classes.groupBy("_chunk")).applyInArrow(send, "_bucket long, _chunk long, _hashes binary, _counts binary")
     answers = sent.groupBy("_bucket").applyInArrow(answer, "_chunk long, _hashes binary, _counts binary")
     right = answers.withColumn("_id", F.lit(None).cast("long")).unionByName(classes.select("_chunk", F.lit(None).cast("binary").alias("_hashes"), F.lit(None).cast("binary").alias("_counts"), "_id"))
-    return texts.groupBy("_chunk").cogroup(right.groupBy("_chunk")).applyInArrow(choose, "_id long, _n long, _set array<long>, _keys array<long>")
+    return texts.groupBy("_chunk").cogroup(right.groupBy("_chunk")).applyInArrow(choose, "_id long, _n long, _set array<long>, _keys array<long>, _places array<int>")
 
 
 def _sparse(counts: np.ndarray) -> bytes:
@@ -244,33 +250,94 @@ def verified(pairs: DataFrame, sets: DataFrame, least: int, per: int) -> DataFra
     return both.where(f"{per} * _both >= {least} * (_nx + _ny - _both)").select("_x", "_y").distinct()
 
 
-def class_links(keyed: DataFrame, least: int, per: int) -> tuple[DataFrame, DataFrame]:
-    """Links between classes that give their components, and the components.
+def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each set of ``one`` shares with each of ``two``: frequent n-grams by matrix products, the others by their pairs."""
+    out = np.zeros((len(one), len(two)), np.float32)
+    gram = np.concatenate(one + two)
+    row = np.repeat(np.arange(len(one) + len(two)), [len(x) for x in one + two])
+    order = np.argsort(gram, kind="stable")
+    gram, row = gram[order], row[order]
+    begin = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    length = np.diff(np.append(begin, len(gram)))
+    column, size = np.repeat(np.arange(len(begin)), length), np.repeat(length, length)
+    few = (size > 1) & (size <= FEW)
+    r, c = row[few], column[few]
+    for d in range(1, FEW):
+        if len(c) > d and len(at := np.flatnonzero((c[d:] == c[:-d]) & (r[:-d] < len(one)) & (r[d:] >= len(one)))):
+            np.add.at(out, (r[at], r[at + d] - len(one)), 1)
+    many = size > FEW
+    r, (_, c) = row[many], np.unique(column[many], return_inverse=True) if many.any() else (None, np.zeros(0, int))
+    for at in range(0, int(c.max()) + 1 if len(c) else 0, COLUMNS):
+        here = (c >= at) & (c < at + COLUMNS)
+        x = np.zeros((len(one) + len(two), COLUMNS), np.float32)
+        x[r[here], c[here] - at] = 1
+        out += x[: len(one)] @ x[len(one) :].T
+    return out
 
-    Each list's members are first held against its smallest member only; members that are still apart afterwards are
-    then held against each other, so a list of near copies costs its length and no link between components is lost.
-    """
-    postings = keyed.select("_id", "_n", F.explode(F.array_distinct("_keys")).alias("_key"))
-    heads = postings.groupBy("_key").agg(F.min(F.struct("_id", "_n")).alias("_head"), F.count(F.lit(1)).alias("_length")).where("_length > 1")
-    stars = (
-        postings.join(heads, "_key")
-        .where(F.col("_id") != F.col("_head._id"))
-        .where(_alike("_n", "_head._n", least, per))
-        .select(F.col("_head._id").alias("_x"), F.col("_id").alias("_y"))
-        .distinct()
+
+def _long_lists(apart: DataFrame, keyed: DataFrame, lengths: DataFrame, least: int, per: int) -> DataFrame:
+    """Joins (_x, _y) between components that links within long lists give; a list is dealt out in parts, and a task compares two of them."""
+
+    def run(key: tuple, members: pa.Table) -> pa.Table:
+        _, first, second = (x.as_py() for x in key)
+        part, n, of = (np.asarray(members.column(k)) for k in ("_part", "_n", "_of"))
+        sets = [np.asarray(x.values) for x in members.column("_set").combine_chunks()]
+        a, b = np.flatnonzero(part == first), np.flatnonzero(part == second)
+        edges = np.zeros((0, 2), np.int64)
+        if len(a) and len(b) and len(np.unique(of)) > 1:
+            both = overlaps([sets[k] for k in a], [sets[k] for k in b]).astype(np.int64)
+            linked = (per * both >= least * (n[a][:, None] + n[b][None, :] - both)) & (of[a][:, None] != of[b][None, :])
+            i, j = np.nonzero(linked)
+            edges = np.unique(np.stack([of[a[i]], of[b[j]]], axis=1), axis=0)
+        names, ends = np.unique(edges, return_inverse=True)
+        ends, root = ends.reshape(-1, 2), np.arange(len(names))
+        while True:  # one join to the smallest for each component, however many links
+            low = root.copy()
+            np.minimum.at(low, ends[:, 0], root[ends[:, 1]])
+            np.minimum.at(low, ends[:, 1], root[ends[:, 0]])
+            if (low == root).all():
+                break
+            root = low
+        moved = np.flatnonzero(root != np.arange(len(names)))
+        return pa.table([pa.array(names[root[moved]], pa.int64()), pa.array(names[moved], pa.int64())], names=["_x", "_y"])
+
+    parts = F.ceil(F.col("_length") / PART).cast("int")
+    dealt = (
+        apart.join(lengths.where(F.col("_length") > LONG), "_key")
+        .select("_key", "_id", "_n", "_of", F.pmod(F.xxhash64("_id"), parts).cast("int").alias("_part"), parts.alias("_parts"))
+        .select("*", F.explode(F.expr("sequence(0, _parts - 1)")).alias("_other"))
+        .select("_key", "_id", "_n", "_of", "_part", F.least("_part", "_other").alias("_one"), F.greatest("_part", "_other").alias("_two"))
     )
-    stars = cut(stars)
+    return dealt.join(keyed.select("_id", "_set"), "_id").groupBy("_key", "_one", "_two").applyInArrow(run, "_x long, _y long")
+
+
+def class_components(keyed: DataFrame, least: int, per: int) -> DataFrame:
+    """(node, component) of every class that is linked with another.
+
+    Each list's members are first held against one of them, that with the fewest n-grams of its own before the key: the
+    likeliest to be linked with many. Members that are still apart afterwards are then held against each other: those of
+    lists up to LONG as pairs, so that a posting makes at most LONG of them, those of longer lists in blocks within
+    tasks, which return joins between components and no pairs. So near copies cost the length of their lists in rows,
+    and no link between components is lost.
+    """
+    postings = keyed.select("_id", "_n", F.explode(F.arrays_zip("_keys", "_places")).alias("_p")).select("_id", "_n", F.col("_p._keys").alias("_key"), F.col("_p._places").alias("_place"))
+    # Were the key the first that both have, all n-grams before it would be in one of them only. At the first key they
+    # have, that holds, so a pair may be left out of the others.
+    near_enough = lambda a, b: f"{_alike(f'_n{a}', f'_n{b}', least, per)} AND {per + least} * (_place{a} + _place{b}) <= {per - least} * (_n{a} + _n{b})"
+    heads = postings.groupBy("_key").agg(F.min(F.struct("_place", "_id", "_n")).alias("_h"), F.count(F.lit(1)).alias("_length")).where("_length > 1").select("_key", "_length", F.col("_h._id").alias("_x"), F.col("_h._place").alias("_placex"), F.col("_h._n").alias("_nx"))
+    listed = postings.select("_key", F.col("_id").alias("_y"), F.col("_n").alias("_ny"), F.col("_place").alias("_placey")).join(heads, "_key")
+    stars = cut(listed.where("_x <> _y").where(near_enough("x", "y")).select("_x", "_y").distinct())
     links = cut(verified(stars, keyed, least, per))
     near = components(links, "_x", "_y")
-    labelled = postings.join(near.withColumnRenamed("node", "_id"), "_id", "left").select("_key", "_id", "_n", F.coalesce("component", "_id").alias("_of"))
-    mixed = labelled.groupBy("_key").agg(F.min("_of").alias("_low"), F.max("_of").alias("_high")).where("_low < _high").select("_key")
-    apart = cut(labelled.join(mixed, "_key", "left_semi"))
-    one = apart.select("_key", F.col("_id").alias("_x"), F.col("_n").alias("_nx"), F.col("_of").alias("_ox"))
-    two = apart.select("_key", F.col("_id").alias("_y"), F.col("_n").alias("_ny"), F.col("_of").alias("_oy"))
-    rest = one.join(two, "_key").where("_x < _y AND _ox <> _oy").where(_alike("_nx", "_ny", least, per)).select("_x", "_y").distinct()
-    rest = cut(rest.join(stars, ["_x", "_y"], "left_anti"))
-    links = links.unionByName(verified(rest, keyed, least, per))
-    return links, components(links, "_x", "_y")
+    labelled = postings.join(near.withColumnRenamed("node", "_id"), "_id", "left").select("_key", "_id", "_n", "_place", F.coalesce("component", "_id").alias("_of"))
+    mixed = labelled.groupBy("_key").agg(F.min("_of").alias("_low"), F.max("_of").alias("_high"), F.count(F.lit(1)).alias("_length")).where("_low < _high").select("_key", "_length")
+    apart = cut(labelled.join(mixed, "_key"))
+    short = apart.where(F.col("_length") <= LONG)
+    one, two = (short.select("_key", *(F.col(k).alias(k + side) for k in ("_id", "_n", "_place", "_of"))) for side in "xy")
+    pairs = one.join(two, "_key").where("_idx < _idy AND _ofx <> _ofy").where(near_enough("x", "y")).select(F.col("_idx").alias("_x"), F.col("_idy").alias("_y")).distinct()
+    joins = _long_lists(apart.drop("_length"), keyed, mixed, least, per)
+    links = links.unionByName(verified(pairs, keyed, least, per)).unionByName(joins)
+    return components(links, "_x", "_y")
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: int = LEAST, per: int = PER) -> DataFrame:
@@ -294,7 +361,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     boundary = boundary_by_cost(sizes, length, least, per)
     texts = rows.where("_id IS NOT NULL").select(chunk, "_id", "_text")
     keyed = cut(candidate_keys(texts, classes.select(chunk, "_id").distinct(), boundary, chunks, max(LEAST_BUCKETS, _ceil(grams * 2 // 5, ENTRIES_PER_BUCKET)), words, least, per))
-    _, near = class_links(keyed, least, per)
+    near = class_components(keyed, least, per)
     of_class = member.select("_id", "_n", "_keep").join(near.withColumnRenamed("node", "_keep"), "_keep", "left").select("_id", "_n", F.coalesce("component", "_keep").alias("_of"))
     rest = found.where("_id IS NULL OR _n = 0").select("_id", "_n", F.col("_id").alias("_of"))
     return of_class.unionByName(rest).select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_of").alias("component_id"))
