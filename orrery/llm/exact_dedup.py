@@ -85,6 +85,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of equal texts, all columns kept: that with the largest id, one of them if rows repeat it."""
+
+    @F.pandas_udf("_sha binary, _size long, _check long")
+    def digests(texts):
+        import pandas as pd
+
+        data = [x.encode("utf-8", "replace").lower() for x in texts]
+        return pd.DataFrame({"_sha": [hashlib.sha256(x).digest() for x in data], "_size": [len(x) for x in data], "_check": [xxhash.xxh3_64_intdigest(x) - 2**63 for x in data]})
+
+    keys = ["_sha", "_size", "_check"]
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), digests(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_d"))
+    merged = tree_merge(rows.select("_row", "_id", "_d.*"), keys, rows=docs.count())
+    return merged.where(F.col("_id").eqNullSafe(F.col("_keep"))).dropDuplicates(keys).select("_row.*")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

@@ -125,16 +125,16 @@ def _groups(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(begin)
 
 
-def packed_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SEQUENCE_TOKENS, group_bytes: int = GROUP_BYTES, linear: float = LINEAR, quadratic: float = QUADRATIC, digests: bool = False) -> DataFrame:
-    """One row per piece: id, start, length, ids (the piece's tokens), doc_tokens, sequence_id, offset.
+def packed_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SEQUENCE_TOKENS, group_bytes: int = GROUP_BYTES, linear: float = LINEAR, quadratic: float = QUADRATIC, with_ids: bool = True) -> DataFrame:
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, ``with_ids``, ids (the piece's tokens).
 
     A document's tokens are its ids by the tokenizer without special tokens, then END_OF_DOCUMENT; null text counts as
     empty and so has one token. Rows are packed as they come, repeated ids and null ids included; other columns aren't
     looked at. An empty table gives no rows. Sequence ids are unique; which rows share a sequence depends on how the
-    input is partitioned. Every sequence is full or a power of two long. With ``digests``, ids_crc32 (of the ids as
-    little-endian unsigned 32-bit numbers) stands in place of ids.
+    input is partitioned. Every sequence is full or a power of two long. ids_crc32 is of the ids as
+    little-endian unsigned 32-bit numbers.
     """
-    tokens = "ids_crc32 long" if digests else "ids array<int>"
+    names = ["_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence, encode = TaskContext.get().partitionId() << 36, encoder(tokenizer_path).encode
@@ -145,23 +145,20 @@ def packed_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                 pieces = pack([len(x) for x in ids], size, linear, quadratic)
                 document, start, length, number, offset = (np.array(x, np.int64) for x in zip(*pieces))
                 owned = [ids[k][at : at + n] for k, at, n, _, _ in pieces]
-                if digests:
-                    held = pa.array([zlib.crc32(x.astype("<u4", copy=False)) for x in owned], pa.int64())
-                else:
-                    bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                    held = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(owned).view(np.int32)))
+                crc = pa.array([zlib.crc32(x.astype("<u4", copy=False)) for x in owned], pa.int64())
                 total = np.array([len(x) for x in ids], np.int64)[document]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(document)), pa.array(start), pa.array(length), held, pa.array(total), pa.array(number + sequence), pa.array(offset)],
-                    ["_id", "start", "length", tokens.split()[0], "doc_tokens", "sequence_id", "offset"],
-                )
+                out = [part.column(0).take(pa.array(document)), pa.array(start), pa.array(length), crc, pa.array(total), pa.array(number + sequence), pa.array(offset)]
+                if with_ids:
+                    bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(owned).view(np.int32))))
+                yield pa.RecordBatch.from_arrays(out, names + ["ids"] * with_ids)
                 sequence += int(number.max()) + 1
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(run, f"_id long, start long, length long, {tokens}, doc_tokens long, sequence_id long, offset long").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(run, ", ".join(f"{k} long" for k in names) + ", ids array<int>" * with_ids).withColumnRenamed("_id", id_col)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
+    return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
