@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: The upper-case and lower-case ASCII letters, for folding A-Z only.
@@ -32,3 +36,39 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows read from a reliable checkpoint, so that a lost executor costs no earlier stage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Bytes of a batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with batches to Python workers bounded in this session: by default they may hold 64 MB, several times over."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+def release() -> None:
+    """Gives freed memory back: a worker stays for later tasks, and other workers need the room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """``run``, a function from batches to batches, releasing memory at its end."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped

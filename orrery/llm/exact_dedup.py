@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, table
+from .common import LOWER, UPPER, bounded, cut, table, tidy
 
 ROWS_PER_RUN = 250_000
 FAN_IN = 8
@@ -40,8 +40,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id, _sha (SHA-256 of the text, A-Z folded), _size (bytes) and _check (an unrelated hash). Null text counts as empty."""
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(_digests, "_id long, _sha binary, _size long, _check long")
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    return rows.mapInArrow(tidy(_digests), "_id long, _sha binary, _size long, _check long")
 
 
 def tree_merge(entries: DataFrame, keys: list[str], id_col: str = "_id", fan_in: int = FAN_IN, rows_per_run: int = ROWS_PER_RUN, keep: str = "max", rows: int | None = None) -> DataFrame:
@@ -96,7 +96,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pd.DataFrame({"_sha": [hashlib.sha256(x).digest() for x in data], "_size": [len(x) for x in data], "_check": [xxhash.xxh3_64_intdigest(x) - 2**63 for x in data]})
 
     keys = ["_sha", "_size", "_check"]
-    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), digests(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_d"))
+    rows = bounded(docs).select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), digests(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_d"))
     merged = tree_merge(rows.select("_row", "_id", "_d.*"), keys, rows=docs.count())
     return merged.where(F.col("_id").eqNullSafe(F.col("_keep"))).dropDuplicates(keys).select("_row.*")
 

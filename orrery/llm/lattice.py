@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import bounded, cut, table, tidy
 from .components import components
 from .exact_dedup import tree_merge
 
@@ -182,10 +182,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         if held is not None:
             yield from run(held)
 
-    rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v"))
-    packed = cut(rows.mapInArrow(pack, "_id long, _vector binary"))
+    rows = bounded(vectors).select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v"))
+    packed = cut(rows.mapInArrow(tidy(pack), "_id long, _vector binary"))
     member = cut(tree_merge(packed.where("_id IS NOT NULL AND _vector IS NOT NULL"), ["_vector"], keep="min"))
-    classes = cut(member.where("_id = _keep").select("_id", F.col("_group").alias("_weight"), "_vector").distinct().mapInArrow(hashed, "_id long, _weight long, _vector binary, _cells array<long>"))
+    classes = cut(member.where("_id = _keep").select("_id", F.col("_group").alias("_weight"), "_vector").distinct().mapInArrow(tidy(hashed), "_id long, _weight long, _vector binary, _cells array<long>"))
     postings = classes.select("_id", F.explode(F.array_distinct("_cells")).alias("_cell"))
     lengths = postings.groupBy("_cell").agg(F.count(F.lit(1)).alias("_length")).where("_length > 1")
     parts = F.ceil(F.col("_length") / block).cast("int")
@@ -196,7 +196,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         .select("_cell", "_id", "_part", F.least("_part", "_other").alias("_one"), F.greatest("_part", "_other").alias("_two"))
     )
     blocks = dealt.join(classes, "_id").repartition("_cell", "_one", "_two").sortWithinPartitions("_cell", "_one", "_two", "_id")
-    found = cut(blocks.mapInArrow(compare, "_id long, _count long, _root long").groupBy("_id", "_root").agg(F.sum("_count").alias("_count")))
+    found = cut(blocks.mapInArrow(tidy(compare), "_id long, _count long, _root long").groupBy("_id", "_root").agg(F.sum("_count").alias("_count")))
     links = found.groupBy("_id").agg(F.sum("_count").alias("_links")).withColumnRenamed("_id", "_keep")
     near = components(found, "_id", "_root").withColumnRenamed("node", "_keep")
     of_class = links.join(near, "_keep", "full").select("_keep", F.coalesce("_links", F.lit(0)).alias("_links"), "component")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, table
+from .common import bounded, cut, release, table, tidy
 from .components import components
 from .exact_dedup import tree_merge
 
@@ -40,6 +40,7 @@ ENTRIES_PER_BUCKET = 1 << 20
 LEAST_CHUNKS = LEAST_BUCKETS = 64
 LARGEST_BOUNDARY = 16
 SLICE_BYTES = 4 << 20
+RELEASE_EVERY = 4
 #: Lists beyond LONG members are compared in tasks, PART members with PART at a time.
 LONG, PART = 256, 4096
 #: N-grams of up to FEW sets are counted by pairs, others by matrix products over so many columns.
@@ -140,6 +141,33 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         begin = stop
 
 
+def _tidy_groups(run):
+    """``run``, a function of a key and its tables, releasing memory after every RELEASE_EVERY groups."""
+    done = 0
+
+    def count() -> None:
+        nonlocal done
+        done += 1
+        if done % RELEASE_EVERY == 0:
+            release()
+
+    if run.__code__.co_argcount == 3:
+
+        def two(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            out = run(key, left, right)
+            count()
+            return out
+
+        return two
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        out = run(key, table)
+        count()
+        return out
+
+    return one
+
+
 def _classes(docs: DataFrame, words: int) -> DataFrame:
     """_id, _n, _a and _b (a 128-bit hash of the set), _first (its smallest hash) of every row."""
 
@@ -151,7 +179,7 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
                 first = np.array([x[0] if len(x) else 0 for x in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(first)], ["_id", "_n", "_a", "_b", "_first"])
 
-    return docs.mapInArrow(run, "_id long, _n long, _a long, _b long, _first long")
+    return docs.mapInArrow(tidy(run), "_id long, _n long, _a long, _b long, _first long")
 
 
 def _of_classes(texts: pa.Table, ids: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -220,10 +248,10 @@ def candidate_keys(texts: DataFrame, classes: DataFrame, boundary: int, chunks:
                 places.append([*place, *[0] * (len(own) - len(place))])
         return pa.table([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["_id", "_n", "_set", "_keys", "_places"])
 
-    sent = texts.groupBy("_chunk").cogroup(classes.groupBy("_chunk")).applyInArrow(send, "_bucket long, _chunk long, _hashes binary, _counts binary")
-    answers = sent.groupBy("_bucket").applyInArrow(answer, "_chunk long, _hashes binary, _counts binary")
+    sent = texts.groupBy("_chunk").cogroup(classes.groupBy("_chunk")).applyInArrow(_tidy_groups(send), "_bucket long, _chunk long, _hashes binary, _counts binary")
+    answers = sent.groupBy("_bucket").applyInArrow(_tidy_groups(answer), "_chunk long, _hashes binary, _counts binary")
     right = answers.withColumn("_id", F.lit(None).cast("long")).unionByName(classes.select("_chunk", F.lit(None).cast("binary").alias("_hashes"), F.lit(None).cast("binary").alias("_counts"), "_id"))
-    return texts.groupBy("_chunk").cogroup(right.groupBy("_chunk")).applyInArrow(choose, "_id long, _n long, _set array<long>, _keys array<long>, _places array<int>")
+    return texts.groupBy("_chunk").cogroup(right.groupBy("_chunk")).applyInArrow(_tidy_groups(choose), "_id long, _n long, _set array<long>, _keys array<long>, _places array<int>")
 
 
 def _sparse(counts: np.ndarray) -> bytes:
@@ -308,7 +336,7 @@ def _long_lists(apart: DataFrame, keyed: DataFrame, lengths: DataFrame, least: i
         .select("*", F.explode(F.expr("sequence(0, _parts - 1)")).alias("_other"))
         .select("_key", "_id", "_n", "_of", "_part", F.least("_part", "_other").alias("_one"), F.greatest("_part", "_other").alias("_two"))
     )
-    return dealt.join(keyed.select("_id", "_set"), "_id").groupBy("_key", "_one", "_two").applyInArrow(run, "_x long, _y long")
+    return dealt.join(keyed.select("_id", "_set"), "_id").groupBy("_key", "_one", "_two").applyInArrow(_tidy_groups(run), "_x long, _y long")
 
 
 def class_components(keyed: DataFrame, least: int, per: int) -> DataFrame:
@@ -349,7 +377,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     document with several texts; a row without an id links with nothing and has no component. Other columns aren't looked
     at. An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     found = cut(_classes(rows, words))
     total, grams = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
     chunks = max(LEAST_CHUNKS, _ceil(total, DOCS_PER_CHUNK))

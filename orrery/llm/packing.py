@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded, table, tidy
 
 SEQUENCE_TOKENS = 1024
 GROUP_BYTES = 4 << 20
@@ -154,8 +154,8 @@ def packed_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays(out, names + ["ids"] * with_ids)
                 sequence += int(number.max()) + 1
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(run, ", ".join(f"{k} long" for k in names) + ", ids array<int>" * with_ids).withColumnRenamed("_id", id_col)
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    return rows.mapInArrow(tidy(run), ", ".join(f"{k} long" for k in names) + ", ids array<int>" * with_ids).withColumnRenamed("_id", id_col)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

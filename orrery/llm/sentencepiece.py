@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded, table, tidy
 from .ngram_join import _slices
 
 MARK = "▁"
@@ -265,7 +265,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: st
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
         return pd.Series([x for part in _slices(batch, 0) for x in model(model_path).encode(part.column(0).to_pylist())])
 
-    return docs.withColumn(out_col, run(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return bounded(docs).withColumn(out_col, run(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
 def decode(tokens: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -275,7 +275,7 @@ def decode(tokens: DataFrame, model_path: str, ids_col: str = "ids", out_col: st
     def run(ids):
         return ids.map(lambda x: None if x is None else model(model_path).decode(x))
 
-    return tokens.withColumn(out_col, run(F.col(ids_col)))
+    return bounded(tokens).withColumn(out_col, run(F.col(ids_col)))
 
 
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,8 +299,8 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
                     ["_id", "n_ids", "ids_crc32", "decoded_sha256", "same"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(run, "_id long, n_ids long, ids_crc32 long, decoded_sha256 string, same boolean").withColumnRenamed("_id", id_col)
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    return rows.mapInArrow(tidy(run), "_id long, n_ids long, ids_crc32 long, decoded_sha256 string, same boolean").withColumnRenamed("_id", id_col)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded, table, tidy
 from .ngram_join import _slices
 
 _matchers: dict[str, "Matcher"] = {}
@@ -133,8 +133,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 sums = [np.bincount(row, weights=w, minlength=part.num_rows).astype(np.int64) for w in (np.ones(len(row)), count[index], unknown[index])]
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, sums)], ["_id", "n_words", "n_tokens", "n_unknown"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(run, "_id long, n_words long, n_tokens long, n_unknown long").withColumnRenamed("_id", id_col)
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    return rows.mapInArrow(tidy(run), "_id long, n_words long, n_tokens long, n_unknown long").withColumnRenamed("_id", id_col)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import bounded, cut, table, tidy
 
 #: The fit sees at most so many labelled rows: those with the smallest hash of their id.
 TRAIN_ROWS = 20_000
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits a Model on at most ``most`` rows whose fold isn't 0, chosen by the hash of their id. Null labels and ids don't count; of several labels for an id the largest holds."""
     usable = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id IS NOT NULL AND _label IS NOT NULL").where(fold(F.col("_id")) != 0)
     chosen = usable.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(most)
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    texts = bounded(docs).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(k)) for k in ("_id", "_label")] + [pa.array([sorted(words(x)) for x in own], pa.list_(pa.string())), pa.array(held, pa.list_(pa.string()))], ["_id", "_label", "_words", "_swaps"])
 
     # chosen holds two numbers for each of at most ``most`` rows, so it may be broadcast.
-    found = cut(texts.join(F.broadcast(chosen), "_id").mapInArrow(features, "_id long, _label int, _words array<string>, _swaps array<string>").withColumn("_label", (F.col("_label") > 0).cast("int")))
+    found = cut(texts.join(F.broadcast(chosen), "_id").mapInArrow(tidy(features), "_id long, _label int, _words array<string>, _swaps array<string>").withColumn("_label", (F.col("_label") > 0).cast("int")))
     names = choose_features(found)
     # What goes to the driver: the features of at most ``most`` texts.
     few = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     def run(texts):
         return texts.map(model.score, na_action=None).astype("float64")
 
-    return docs.withColumn(out_col, run(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return bounded(docs).withColumn(out_col, run(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_on: DataFrame | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, table
+from .common import bounded, cut, shared_dir, table, tidy
 from .exact_dedup import tree_merge
 
 LEAST_REVISIT_BYTES = 1000
@@ -177,8 +177,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", uri_col: str = "ur
     if "://" not in folder:
         folder = ("" if folder.startswith("file:") else "file:") + folder
     at = folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
-    rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(uri_col).cast("string").alias("_uri"), F.col(body_col).cast("string").alias("_body"))
-    hashed = rows.mapInArrow(_payload_digests, "_id long, _uri string, _payload binary, _sha binary, _size long")
+    rows = bounded(pages).select(F.col(id_col).cast("long").alias("_id"), F.col(uri_col).cast("string").alias("_uri"), F.col(body_col).cast("string").alias("_body"))
+    hashed = rows.mapInArrow(tidy(_payload_digests), "_id long, _uri string, _payload binary, _sha binary, _size long")
     merged = tree_merge(hashed, ["_sha", "_size"], rows=pages.count())
     target = F.when((F.col("_size") >= least) & ~F.col("_id").eqNullSafe(F.col("_keep")), F.col("_keep"))
 
@@ -207,7 +207,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", uri_col: str = "ur
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done)], ["path", "records", "bytes"])
 
-    written = merged.select("_id", "_uri", "_payload", target.alias("_target")).mapInArrow(run, "path string, records long, bytes long")
+    written = merged.select("_id", "_uri", "_payload", target.alias("_target")).mapInArrow(tidy(run), "path string, records long, bytes long")
     return cut(written)
 
 
@@ -235,7 +235,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
-    return archives.select("path").mapInArrow(run, "page_id long, uri string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    return archives.select("path").mapInArrow(tidy(run), "page_id long, uri string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
