@@ -42,7 +42,7 @@ LARGEST_BOUNDARY = 16
 SLICE_BYTES = 4 << 20
 RELEASE_EVERY = 4
 #: Lists beyond LONG members are compared in tasks, PART members with PART at a time.
-LONG, PART = 256, 4096
+LONG, PART, BAND = 256, 4096, 256
 #: N-grams of up to FEW sets are counted by pairs, others by matrix products over so many columns.
 FEW, COLUMNS = 16, 1024
 _ODD = np.random.default_rng(20240501).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -313,10 +313,14 @@ def _long_lists(apart: DataFrame, keyed: DataFrame, lengths: DataFrame, least: i
         a, b = np.flatnonzero(part == first), np.flatnonzero(part == second)
         edges = np.zeros((0, 2), np.int64)
         if len(a) and len(b) and len(np.unique(of)) > 1:
-            both = overlaps([sets[k] for k in a], [sets[k] for k in b]).astype(np.int64)
-            linked = (per * both >= least * (n[a][:, None] + n[b][None, :] - both)) & (of[a][:, None] != of[b][None, :])
-            i, j = np.nonzero(linked)
-            edges = np.unique(np.stack([of[a[i]], of[b[j]]], axis=1), axis=0)
+            found = []
+            for at in range(0, len(a), BAND):  # a band of rows at a time bounds memory
+                band = a[at : at + BAND]
+                both = overlaps([sets[k] for k in band], [sets[k] for k in b]).astype(np.int32)
+                linked = (per + least) * both >= least * (n[band][:, None] + n[b][None, :])
+                i, j = np.nonzero(linked & (of[band][:, None] != of[b][None, :]))
+                found.append(np.unique(np.stack([of[band[i]], of[b[j]]], axis=1), axis=0))
+            edges = np.unique(np.concatenate(found), axis=0)
         names, ends = np.unique(edges, return_inverse=True)
         ends, root = ends.reshape(-1, 2), np.arange(len(names))
         while True:  # one join to the smallest for each component, however many links
