@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -125,19 +127,22 @@ def page_rank(probabilities: DataFrame, seeds: DataFrame, restart: float = V.RES
     all rounds run, uncut, as one plan.
     """
     start = seeds.select(F.col("path").alias("node")).distinct()
-    steps = probabilities.groupBy("source", "target").agg(F.sum("probability").alias("probability"))
     start = start.crossJoin(F.broadcast(start.agg(F.count(F.lit(1)).alias("_n")))).select("node", (1.0 / F.col("_n")).alias("_share"))  # one row
-    state = start.select("node", F.col("_share").alias("mass"))
-    ways = steps.select(F.col("source").alias("node")).distinct()
-    k = 0
+    steps = probabilities.groupBy("source", "target").agg(F.sum("probability").alias("probability"))
+    # From a node without a way out the surfer goes to the seeds: seeds are few and given by hand.
+    ends = steps.select(F.col("target").alias("source")).unionByName(start.select(F.col("node").alias("source"))).distinct().join(steps.select("source").distinct(), "source", "left_anti")
+    back = ends.crossJoin(F.broadcast(start)).select("source", F.col("node").alias("target"), F.col("_share").alias("probability"))
+    steps = steps.unionByName(back)
+    restarts = start.select("node", (F.col("_share") * restart).alias("mass"))
+    if not fixed:
+        steps = cut(steps)
+    state, k = start.select("node", F.col("_share").alias("mass")), 0
     while k < rounds:
         before = state
         for _ in range(min(every, rounds - k)):
             before, k = state, k + 1
             moved = state.join(steps, state["node"] == steps["source"]).select(F.col("target").alias("node"), (F.col("mass") * F.col("probability") * (1 - restart)).alias("mass"))
-            stuck = state.join(ways, "node", "left_anti").agg((F.coalesce(F.sum("mass"), F.lit(0.0)) * (1 - restart)).alias("_stuck"))
-            back = start.crossJoin(F.broadcast(stuck)).select("node", (F.col("_share") * (restart + F.col("_stuck"))).alias("mass"))  # one row
-            state = moved.unionByName(back).groupBy("node").agg(F.sum("mass").alias("mass"))
+            state = moved.unionByName(restarts).groupBy("node").agg(F.sum("mass").alias("mass"))
         if fixed:
             continue
         state = cut(state)
@@ -147,8 +152,33 @@ def page_rank(probabilities: DataFrame, seeds: DataFrame, restart: float = V.RES
     return state
 
 
+def page_rank_kernel(probabilities: DataFrame, seeds: DataFrame, restart: float = V.RESTART, rounds: int = V.MOST_ROUNDS, tolerance: float = V.TOLERANCE) -> DataFrame:
+    """node, mass, rounds and residual of the same, in one task: for graphs of one repository, which fit a worker."""
+    steps = probabilities.groupBy("source", "target").agg(F.sum("probability").alias("probability"))
+    rows = steps.unionByName(seeds.select(F.lit(None).cast("string").alias("source"), F.col("path").alias("target"), F.lit(None).cast("double").alias("probability")).distinct())
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame[frame["source"].notna()].sort_values(["source", "target"])
+        start = sorted(frame.loc[frame["source"].isna(), "target"])
+        names = sorted({*own["source"], *own["target"], *start})
+        place = {n: k for k, n in enumerate(names)}
+        a, b = (own[c].map(place).to_numpy(dtype=np.int64) for c in ("source", "target"))
+        p, first = own["probability"].to_numpy(dtype=np.float64), np.zeros(len(names))
+        first[[place[n] for n in start]] = 1.0 / len(start)
+        stuck = np.ones(len(names), bool)
+        stuck[a] = False
+        mass, k, change = first.copy(), 0, np.inf
+        while k < rounds and change > tolerance:
+            moved = np.bincount(b, weights=mass[a] * p, minlength=len(names))
+            new = restart * first + (1 - restart) * (moved + mass[stuck].sum() * first)
+            change, mass, k = float(np.abs(new - mass).sum()), new, k + 1
+        return pd.DataFrame({"node": names, "mass": mass, "rounds": k, "residual": change})
+
+    return rows.groupBy(F.lit(0).alias("_all")).applyInPandas(run, "node string, mass double, rounds int, residual double")
+
+
 def max_product(steps: DataFrame, seeds: DataFrame, max_hops: int = 4, decay: float = V.HOP_DECAY, rounds: int | None = None) -> DataFrame:
-    """node, score and hops of the best product of weights from a seed (column path), each hop times ``decay``.
+    """node, score, hops and path (nodes from the seed on) of the best product of weights from a seed (column path), each hop times ``decay``.
 
     steps: source, target, weight (at most 1). A node goes on only while its best label has fewer than ``max_hops``
     hops, even if a weaker one has. As every step shrinks the score, these labels are the only ones that
@@ -156,14 +186,14 @@ def max_product(steps: DataFrame, seeds: DataFrame, max_hops: int = 4, decay: fl
     ``rounds`` rounds.
     """
     best_steps = steps.groupBy("source", "target").agg(F.max("weight").alias("weight"))
-    start = seeds.select(F.col("path").alias("node"), F.lit(1.0).alias("score"), F.lit(0).alias("hops")).distinct()
+    start = seeds.select(F.col("path").alias("node"), F.lit(1.0).alias("score"), F.lit(0).alias("hops"), F.array("path").alias("path")).distinct()
     labels, k, state = start, 0, None
     while rounds is None or k < rounds:
         k += 1
         went = labels.where(F.col("hops") < max_hops).join(best_steps, F.col("node") == F.col("source"))
-        offers = went.select(F.col("target").alias("node"), (F.col("score") * decay * F.col("weight")).alias("score"), (F.col("hops") + 1).alias("hops"))
-        best = F.max(F.struct("score", (-F.col("hops")).alias("_less"))).alias("_best")
-        labels = start.unionByName(offers).groupBy("node").agg(best).select("node", "_best.score", (-F.col("_best._less")).alias("hops"))
+        offers = went.select(F.col("target").alias("node"), (F.col("score") * decay * F.col("weight")).alias("score"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("target")).alias("path"))
+        best = F.min(F.struct((-F.col("score")).alias("_less"), "hops", "path")).alias("_best")
+        labels = start.unionByName(offers).groupBy("node").agg(best).select("node", (-F.col("_best._less")).alias("score"), "_best.hops", "_best.path")
         if rounds is None:
             labels = cut(labels)
             now = labels.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "score", "hops").cast("decimal(38,0)"))).first()
@@ -176,12 +206,14 @@ def max_product(steps: DataFrame, seeds: DataFrame, max_hops: int = 4, decay: fl
 def hop_distances(links: DataFrame, seeds: DataFrame, max_hops: int = 5) -> DataFrame:
     """node and hops: the fewest steps (source, target) from a seed (column path), up to ``max_hops``."""
     reached = seeds.select(F.col("path").alias("node"), F.lit(0).alias("hops")).distinct()
-    frontier = reached
+    ways = links.select("source", "target", F.lit(1).alias("_w")).distinct()
+    stay = ways.select("source").unionByName(ways.select(F.col("target").alias("source"))).unionByName(seeds.select(F.col("path").alias("source"))).distinct()
+    ways = ways.unionByName(stay.select("source", F.col("source").alias("target"), F.lit(0).alias("_w")))
     for hop in range(1, max_hops + 1):
-        frontier = frontier.join(links, frontier["node"] == links["source"]).select(F.col("target").alias("node")).distinct().join(reached, "node", "left_anti").withColumn("hops", F.lit(hop))
-        reached = reached.unionByName(frontier)
-        if hop % 3 == 0 and hop < max_hops:
-            reached, frontier = cut(reached), cut(frontier)
+        went = reached.join(ways, F.col("node") == F.col("source")).select(F.col("target").alias("node"), (F.col("hops") + F.col("_w")).alias("hops"))
+        reached = went.groupBy("node").agg(F.min("hops").alias("hops"))
+        if hop % 8 == 0 and hop < max_hops:
+            reached = cut(reached)
     return reached
 
 

@@ -522,6 +522,13 @@ def _product_sql(rounds: int) -> str:
     return f"WITH {_EDGES_SQL}, {', '.join(out)} SELECT node, round(score, 6) AS score, hops FROM m{rounds}"
 
 
+@_query()
+def page_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = spark.createDataFrame([("s/1",), ("p/2",)], "path string")
+    state = G.page_rank_kernel(G.normalised(G.transitions(_edges(spark, sf_dir), "typed")), seeds)
+    return state.select("node", F.round("mass", 9).alias("mass"), "rounds")
+
+
 @_query(_product_sql(3))
 def union_maxprod(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _edges(spark, sf_dir).withColumn("_w", G.relation_weight(F.col("relation")) / 24.0 * V.STATUS_WEIGHTS["stable"])
