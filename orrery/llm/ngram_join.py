@@ -191,7 +191,7 @@ def _of_classes(texts: pa.Table, ids: pa.Array, words: int) -> Iterator[tuple[in
 
 
 def candidate_keys(texts: DataFrame, classes: DataFrame, boundary: int, chunks: int, buckets: int, words: int, least: int, per: int) -> DataFrame:
-    """_id, _n, _set, _keys and _places (how many n-grams come before each key) of every class with a key that another class may share."""
+    """_id, _n, _set, _keys, _places (how many leading n-grams come before each key) and _top (half the largest leading hash) of every class with a key that another class may share."""
     floor = partners(boundary + 1, least, per)[0]
     blob = [("_chunk", pa.int64()), ("_hashes", pa.binary()), ("_counts", pa.binary())]
 
@@ -229,7 +229,7 @@ def candidate_keys(texts: DataFrame, classes: DataFrame, boundary: int, chunks:
         counts = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in known.column("_counts").to_pylist())])
         order = np.argsort(hashes)
         hashes, counts = hashes[order], counts[order]
-        ids, sizes, sets, keys, places = [], [], [], [], []
+        ids, sizes, sets, keys, places, tops = [], [], [], [], [], []
         for k, grams in _of_classes(left, right.column("_id").combine_chunks(), words):
             n, own, place = len(grams), [], []
             if n and n >= floor and len(hashes):
@@ -246,12 +246,14 @@ def candidate_keys(texts: DataFrame, classes: DataFrame, boundary: int, chunks:
             if own:
                 ids.append(k), sizes.append(n), sets.append(grams.view(np.int64)), keys.append(np.array(own, np.uint64).view(np.int64))
                 places.append([*place, *[0] * (len(own) - len(place))])
-        return pa.table([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["_id", "_n", "_set", "_keys", "_places"])
+                lead = leading(n, least, per)
+                tops.append(int(grams[lead - 1] >> np.uint64(1)) if lead < n else 2**63 - 1)
+        return pa.table([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(tops, pa.int64())], names=["_id", "_n", "_set", "_keys", "_places", "_top"])
 
     sent = texts.groupBy("_chunk").cogroup(classes.groupBy("_chunk")).applyInArrow(_tidy_groups(send), "_bucket long, _chunk long, _hashes binary, _counts binary")
     answers = sent.groupBy("_bucket").applyInArrow(_tidy_groups(answer), "_chunk long, _hashes binary, _counts binary")
     right = answers.withColumn("_id", F.lit(None).cast("long")).unionByName(classes.select("_chunk", F.lit(None).cast("binary").alias("_hashes"), F.lit(None).cast("binary").alias("_counts"), "_id"))
-    return texts.groupBy("_chunk").cogroup(right.groupBy("_chunk")).applyInArrow(_tidy_groups(choose), "_id long, _n long, _set array<long>, _keys array<long>, _places array<int>")
+    return texts.groupBy("_chunk").cogroup(right.groupBy("_chunk")).applyInArrow(_tidy_groups(choose), "_id long, _n long, _set array<long>, _keys array<long>, _places array<int>, _top long")
 
 
 def _sparse(counts: np.ndarray) -> bytes:
@@ -352,20 +354,27 @@ def class_components(keyed: DataFrame, least: int, per: int) -> DataFrame:
     tasks, which return joins between components and no pairs. So near copies cost the length of their lists in rows,
     and no link between components is lost.
     """
-    postings = keyed.select("_id", "_n", F.explode(F.arrays_zip("_keys", "_places")).alias("_p")).select("_id", "_n", F.col("_p._keys").alias("_key"), F.col("_p._places").alias("_place"))
-    # Were the key the first that both have, all n-grams before it would be in one of them only. At the first key they
-    # have, that holds, so a pair may be left out of the others.
-    near_enough = lambda a, b: f"{_alike(f'_n{a}', f'_n{b}', least, per)} AND {per + least} * (_place{a} + _place{b}) <= {per - least} * (_n{a} + _n{b})"
-    heads = postings.groupBy("_key").agg(F.min(F.struct("_place", "_id", "_n")).alias("_h"), F.count(F.lit(1)).alias("_length")).where("_length > 1").select("_key", "_length", F.col("_h._id").alias("_x"), F.col("_h._place").alias("_placex"), F.col("_h._n").alias("_nx"))
-    listed = postings.select("_key", F.col("_id").alias("_y"), F.col("_n").alias("_ny"), F.col("_place").alias("_placey")).join(heads, "_key")
+    own = ["_id", "_n", "_place", "_top"]
+    postings = keyed.select("_id", "_n", "_top", F.explode(F.arrays_zip("_keys", "_places")).alias("_p")).select("_id", "_n", "_top", F.col("_p._keys").alias("_key"), F.col("_p._places").alias("_place"))
+
+    def near_enough(a: str, b: str) -> str:
+        """Whether the pair may be linked if the key is the first that both have; at that key it is, so others may leave it out.
+
+        Of the set whose leading n-grams end first, those before the key are then in no part of the other set.
+        """
+        few = lambda x: f"{per + least} * (_n{x} - _place{x}) >= {least} * (_n{a} + _n{b})"
+        return f"{_alike(f'_n{a}', f'_n{b}', least, per)} AND CASE WHEN _top{a} <= _top{b} THEN {few(a)} ELSE {few(b)} END"
+
+    heads = postings.groupBy("_key").agg(F.min(F.struct("_place", "_id", "_n", "_top")).alias("_h"), F.count(F.lit(1)).alias("_length")).where("_length > 1").select("_key", "_length", *(F.col(f"_h.{c}").alias("_x" if c == "_id" else f"{c}x") for c in own))
+    listed = postings.select("_key", *(F.col(c).alias("_y" if c == "_id" else f"{c}y") for c in own)).join(heads, "_key")
     stars = cut(listed.where("_x <> _y").where(near_enough("x", "y")).select("_x", "_y").distinct())
     links = cut(verified(stars, keyed, least, per))
     near = components(links, "_x", "_y")
-    labelled = postings.join(near.withColumnRenamed("node", "_id"), "_id", "left").select("_key", "_id", "_n", "_place", F.coalesce("component", "_id").alias("_of"))
+    labelled = postings.join(near.withColumnRenamed("node", "_id"), "_id", "left").select("_key", *own, F.coalesce("component", "_id").alias("_of"))
     mixed = labelled.groupBy("_key").agg(F.min("_of").alias("_low"), F.max("_of").alias("_high"), F.count(F.lit(1)).alias("_length")).where("_low < _high").select("_key", "_length")
     apart = cut(labelled.join(mixed, "_key"))
     short = apart.where(F.col("_length") <= LONG)
-    one, two = (short.select("_key", *(F.col(k).alias(k + side) for k in ("_id", "_n", "_place", "_of"))) for side in "xy")
+    one, two = (short.select("_key", *(F.col(k).alias(k + side) for k in (*own, "_of"))) for side in "xy")
     pairs = one.join(two, "_key").where("_idx < _idy AND _ofx <> _ofy").where(near_enough("x", "y")).select(F.col("_idx").alias("_x"), F.col("_idy").alias("_y")).distinct()
     joins = _long_lists(apart.drop("_length"), keyed, mixed, least, per)
     links = links.unionByName(verified(pairs, keyed, least, per)).unionByName(joins)
