@@ -91,18 +91,18 @@ def _confirmed(kind: str, found: Column) -> Column:
 
 def _spans(kind: str, text: Column, matches: Column) -> Column:
     """The kind's confirmed spans that score enough, by start."""
-    gaps = F.split(text, LINEAR_PATTERNS[kind], -1)
+    gaps = F.slice(F.split(text, LINEAR_PATTERNS[kind], -1), F.lit(1), F.size(matches))
     empty = F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, kind: INT, stop: INT, found: STRING>>)")
+    # Both arrays are made once for a text, as the aggregate's input; in its steps they would be made for every match.
+    pairs = F.zip_with(gaps, matches, lambda gap, found: F.struct(F.length(gap).alias("gap"), found.alias("found")))
 
-    def place(done: Column, k: Column) -> Column:
-        found = F.get(matches, k)
-        start = done["at"] + F.length(F.get(gaps, k))
-        stop = start + F.length(found)
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), stop.alias("stop"), found.alias("found"))
+    def place(done: Column, x: Column) -> Column:
+        start = done["at"] + x["gap"]
+        stop = start + F.length(x["found"])
+        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), stop.alias("stop"), x["found"].alias("found"))
         return F.struct(stop.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
 
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    placed = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, place)["spans"]
+    placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), place)["spans"]
     sure = F.filter(placed, lambda x: _confirmed(kind, x["found"]))
 
     def scored(x: Column) -> Column:
