@@ -35,14 +35,14 @@ from .exact_dedup import tree_merge
 WORDS = 5
 #: Similarity as a fraction: linked when PER * shared >= LEAST * union.
 LEAST, PER = 80, 100
-DOCS_PER_CHUNK = 2000
+DOCS_PER_CHUNK, GRAMS_PER_CHUNK = 2000, 1 << 21
 ENTRIES_PER_BUCKET = 1 << 20
 LEAST_CHUNKS = LEAST_BUCKETS = 64
 LARGEST_BOUNDARY = 16
 SLICE_BYTES = 4 << 20
 RELEASE_EVERY = 4
-#: Lists beyond LONG members are compared in tasks, PART members with PART at a time.
-LONG, PART, BAND = 256, 4096, 256
+#: Lists beyond LONG members are compared in tasks, about PART members or PART_GRAMS n-grams with as many at a time.
+LONG, PART, PART_GRAMS, BAND = 256, 4096, 1 << 22, 256
 #: N-grams of up to FEW sets are counted by pairs, others by matrix products over so many columns.
 FEW, COLUMNS = 16, 1024
 _ODD = np.random.default_rng(20240501).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -335,7 +335,7 @@ def _long_lists(apart: DataFrame, keyed: DataFrame, lengths: DataFrame, least: i
         moved = np.flatnonzero(root != np.arange(len(names)))
         return pa.table([pa.array(names[root[moved]], pa.int64()), pa.array(names[moved], pa.int64())], names=["_x", "_y"])
 
-    parts = F.ceil(F.col("_length") / PART).cast("int")
+    parts = F.ceil(F.greatest(F.col("_length") / PART, F.col("_grams") / PART_GRAMS)).cast("int")
     dealt = (
         apart.join(lengths.where(F.col("_length") > LONG), "_key")
         .select("_key", "_id", "_n", "_of", F.pmod(F.xxhash64("_id"), parts).cast("int").alias("_part"), parts.alias("_parts"))
@@ -371,8 +371,8 @@ def class_components(keyed: DataFrame, least: int, per: int) -> DataFrame:
     links = cut(verified(stars, keyed, least, per))
     near = components(links, "_x", "_y")
     labelled = postings.join(near.withColumnRenamed("node", "_id"), "_id", "left").select("_key", *own, F.coalesce("component", "_id").alias("_of"))
-    mixed = labelled.groupBy("_key").agg(F.min("_of").alias("_low"), F.max("_of").alias("_high"), F.count(F.lit(1)).alias("_length")).where("_low < _high").select("_key", "_length")
-    apart = cut(labelled.join(mixed, "_key"))
+    mixed = labelled.groupBy("_key").agg(F.min("_of").alias("_low"), F.max("_of").alias("_high"), F.count(F.lit(1)).alias("_length"), F.sum("_n").alias("_grams")).where("_low < _high").select("_key", "_length", "_grams")
+    apart = cut(labelled.join(mixed.drop("_grams"), "_key"))
     short = apart.where(F.col("_length") <= LONG)
     one, two = (short.select("_key", *(F.col(k).alias(k + side) for k in (*own, "_of"))) for side in "xy")
     pairs = one.join(two, "_key").where("_idx < _idy AND _ofx <> _ofy").where(near_enough("x", "y")).select(F.col("_idx").alias("_x"), F.col("_idy").alias("_y")).distinct()
@@ -393,7 +393,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = bounded(docs).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     found = cut(_classes(rows, words))
     total, grams = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
-    chunks = max(LEAST_CHUNKS, _ceil(total, DOCS_PER_CHUNK))
+    chunks = max(LEAST_CHUNKS, _ceil(total, DOCS_PER_CHUNK), _ceil(grams, GRAMS_PER_CHUNK))
     chunk = F.pmod(F.xxhash64("_id"), F.lit(chunks)).alias("_chunk")
     member = cut(tree_merge(found.where("_id IS NOT NULL AND _n > 0"), ["_n", "_a", "_b"], keep="min", rows=total))
     classes = member.where("_id = _keep").select("_id", "_n", "_first").distinct()

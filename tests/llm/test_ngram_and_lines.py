@@ -53,6 +53,7 @@ def near_copies(rng, groups=10, size=12):
 @pytest.mark.parametrize("long", [256, 2])
 def test_equals_brute_force(spark, monkeypatch, long):
     monkeypatch.setattr(J, "LONG", long)
+    monkeypatch.setattr(J, "PART_GRAMS", 100 * long)
     rng = random.Random(long)
     texts = [*near_copies(rng), None, "", " \t\n", "one", "ONE", "one two", "É x y z w v", "é x y z w v", "a b c d e f"]
     rows = list(enumerate(texts)) + [(500 + k, "same words in all of these texts here") for k in range(5)]
