@@ -41,6 +41,11 @@ def test_query_equals_sql(spark, db, name):
     assert got == want
 
 
+def test_published_schedule(spark):
+    row = queries.QUERIES["schedule_replay"](spark, DATA).first()
+    assert (row["detection_rate"], row["mean_checks"], row["yield_rate"]) == (0.351, 1.82, 0.1755)
+
+
 def test_contract(spark):
     assert entry.entry(spark).count() >= 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
