@@ -16,4 +16,11 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_pii": pii.op10_pii,
 }
-ORACLES = {"op6_line_dedup": line_dedup.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op4_warc": warc.ORACLE, "op10_pii": pii.ORACLE}
+ORACLES = {
+    "op3_exact_dedup": exact_dedup.ORACLE,
+    "op4_warc": warc.ORACLE,
+    "op5_ngram_join": ngram_join.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
+    "op7_lattice": lattice.ORACLE,
+    "op10_pii": pii.ORACLE,
+}
