@@ -19,8 +19,8 @@ def mark_latest(rows: DataFrame, key: Column, order: list[str], out_col: str = "
     The last is found by an aggregate that combines before the shuffle, so a key with very many rows is no task of its own.
     """
     keyed = rows.withColumn("_key", key)
-    last = keyed.groupBy("_key").agg(F.max(F.struct(*order)).alias("_last"))
-    return keyed.join(last, "_key").withColumn(out_col, F.struct(*order).eqNullSafe(F.col("_last")).cast("int")).drop("_key", "_last")
+    last = keyed.groupBy(F.col("_key").alias("_of")).agg(F.max(F.struct(*order)).alias("_last"))
+    return keyed.join(last, F.col("_key").eqNullSafe(F.col("_of"))).drop("_of").withColumn(out_col, F.struct(*order).eqNullSafe(F.col("_last")).cast("int")).drop("_key", "_last")
 
 
 def unique_targets(definitions: DataFrame, keys: list[Column], path_col: str, value_col: str, order_col: str) -> DataFrame:
