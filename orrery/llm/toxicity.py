@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ MOST_FEATURES = 2000
 CHANCE = 0.05
 RIDGE = 0.05
 SWAP_PENALTY = 10.0
+#: Of labelled texts whose so many smallest word hashes are equal (copies and near copies), one counts.
+SKETCH = 3
 STEPS = 50
 FOLDS = 5
 
@@ -149,10 +152,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             own = [x.as_py() for x in batch.column(batch.schema.get_field_index("_text"))]
             held = [[" ".join(sorted(a)) + "|" + " ".join(sorted(b)) for a, b in swaps(x)] for x in own]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(k)) for k in ("_id", "_label")] + [pa.array([sorted(words(x)) for x in own], pa.list_(pa.string())), pa.array(held, pa.list_(pa.string()))], ["_id", "_label", "_words", "_swaps"])
+            sets = [sorted(words(x)) for x in own]
+            sketch = [" ".join(sorted(xxhash.xxh3_64_hexdigest(w) for w in x)[:SKETCH]) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(k)) for k in ("_id", "_label")] + [pa.array(sets, pa.list_(pa.string())), pa.array(held, pa.list_(pa.string())), pa.array(sketch)], ["_id", "_label", "_words", "_swaps", "_sketch"])
 
     # chosen holds two numbers for each of at most ``most`` rows, so it may be broadcast.
-    found = cut(texts.join(F.broadcast(chosen), "_id").mapInArrow(tidy(features), "_id long, _label int, _words array<string>, _swaps array<string>").withColumn("_label", (F.col("_label") > 0).cast("int")))
+    found = texts.join(F.broadcast(chosen), "_id").mapInArrow(tidy(features), "_id long, _label int, _words array<string>, _swaps array<string>, _sketch string").withColumn("_label", (F.col("_label") > 0).cast("int"))
+    found = cut(found.groupBy("_sketch", "_label").agg(F.min(F.struct("_id", "_words", "_swaps")).alias("_one")).select("_one.*", "_label"))
     names = choose_features(found)
     # What goes to the driver: the features of at most ``most`` texts.
     few = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
