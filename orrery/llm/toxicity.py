@@ -1,8 +1,8 @@
 """A toxicity classifier whose score doesn't hang on which group a sentence names.
 
-Labelled texts become sets of words. Words that tell the labels apart beyond chance (by the likelihood ratio, corrected
-for how many words were tried) and all identity terms are features of a logistic regression. For every labelled text
-that names a group, each of its sentences is also taken with that term swapped for every other one of its kind; the fit
+Labelled texts become sets of words. Words, and beginnings of words, that tell the labels apart beyond chance (by the
+likelihood ratio, corrected for how many were tried) and all identity terms are features of a logistic regression. For
+every labelled text that names a group, each of its sentences is also taken with that term swapped for every other one of its kind; the fit
 penalises the square of the change of the text's logit. The quadratic penalty joins the Newton steps exactly.
 """
 
@@ -12,6 +12,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ RIDGE = 0.05
 SWAP_PENALTY = 10.0
 #: Of labelled texts whose so many smallest word hashes are equal (copies and near copies), one counts.
 SKETCH = 3
+#: Beginnings of longer words are features, too: endings vary.
+PREFIXES = (4, 5, 6, 7)
 STEPS = 50
 FOLDS = 5
 
@@ -49,26 +52,35 @@ def words(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
+def features(own: set[str], lengths: tuple[int, ...] = PREFIXES) -> set[str]:
+    """The words, and the beginnings of longer ones, marked by a star."""
+    return own | {f"{w[:k]}*" for w in own for k in lengths if len(w) > k}
+
+
 def swaps(text: str | None) -> list[tuple[frozenset[str], frozenset[str]]]:
-    """(words lost, words gained) by the text for each identity term of a sentence swapped for each other one of its kind."""
+    """(features lost, features gained) by the text for each identity term of a sentence swapped for each other one of its kind."""
     parts = [words(x) for x in _SENTENCE.findall(text or "")]
     out = []
     for k, own in enumerate(parts):
         for term in sorted(own & _KIND.keys()):
-            rest = set().union(*parts[:k], *parts[k + 1 :], own - {term})
+            rest = features(set().union(*parts[:k], *parts[k + 1 :], own - {term}))
             for other in IDENTITY_TERMS[_KIND[term]]:
                 if other != term:
-                    out.append((frozenset({term} - rest), frozenset({other} - rest)))
+                    out.append((frozenset(features({term}) - rest), frozenset(features({other}) - rest)))
     return out
 
 
-@dataclass(frozen=True)
+@dataclass
 class Model:
     bias: float
     weights: dict[str, float]
 
+    @cached_property
+    def lengths(self) -> tuple[int, ...]:
+        return tuple(sorted({len(w) - 1 for w in self.weights if w.endswith("*")}))
+
     def score(self, text: str | None) -> float:
-        z = self.bias + math.fsum(self.weights[w] for w in words(text) & self.weights.keys())
+        z = self.bias + math.fsum(self.weights[w] for w in features(words(text), self.lengths) & self.weights.keys())
         return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
 
 
@@ -148,16 +160,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = usable.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(most)
     texts = bounded(docs).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [x.as_py() for x in batch.column(batch.schema.get_field_index("_text"))]
             held = [[" ".join(sorted(a)) + "|" + " ".join(sorted(b)) for a, b in swaps(x)] for x in own]
             sets = [sorted(words(x)) for x in own]
             sketch = [" ".join(sorted(xxhash.xxh3_64_hexdigest(w) for w in x)[:SKETCH]) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(k)) for k in ("_id", "_label")] + [pa.array(sets, pa.list_(pa.string())), pa.array(held, pa.list_(pa.string())), pa.array(sketch)], ["_id", "_label", "_words", "_swaps", "_sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(k)) for k in ("_id", "_label")] + [pa.array([sorted(features(set(x))) for x in sets], pa.list_(pa.string())), pa.array(held, pa.list_(pa.string())), pa.array(sketch)], ["_id", "_label", "_words", "_swaps", "_sketch"])
 
     # chosen holds two numbers for each of at most ``most`` rows, so it may be broadcast.
-    found = texts.join(F.broadcast(chosen), "_id").mapInArrow(tidy(features), "_id long, _label int, _words array<string>, _swaps array<string>, _sketch string").withColumn("_label", (F.col("_label") > 0).cast("int"))
+    found = texts.join(F.broadcast(chosen), "_id").mapInArrow(tidy(read), "_id long, _label int, _words array<string>, _swaps array<string>, _sketch string").withColumn("_label", (F.col("_label") > 0).cast("int"))
     found = cut(found.groupBy("_sketch", "_label").agg(F.min(F.struct("_id", "_words", "_swaps")).alias("_one")).select("_one.*", "_label"))
     names = choose_features(found)
     # What goes to the driver: the features of at most ``most`` texts.

@@ -105,7 +105,7 @@ def test_neutral_mentions_are_left_alone(spark):
     assert model.score("a muslim walks by the tree") < 0.5 < model.score("a vile stone")
     assert abs(model.weights.get("muslim", 0)) < 0.5
     texts = docs.collect()
-    parsed = [(T.words(r["text"]), T.swaps(r["text"]), rows[r["doc_id"]][2]) for r in texts]
+    parsed = [(T.features(T.words(r["text"])), T.swaps(r["text"]), rows[r["doc_id"]][2]) for r in texts]
     plain = T.fit(parsed, ["muslim", "rotten", "scummy", "vile"], swap_penalty=0.0)
     assert plain.weights["muslim"] > 2 * abs(model.weights.get("muslim", 0))
     got = T.toxicity(docs, labels).collect()
@@ -135,4 +135,4 @@ def test_edge_rows(spark):
     assert {r["score"] for r in none} == {0.5}
     assert T.toxicity(docs.limit(0), labels).count() == 0
     lost = T.swaps("The old tree. A man walks, old man!")
-    assert all(not gone or gone in ({"old"}, {"man"}) for gone, _ in lost) and (frozenset({"man"}), frozenset({"woman"})) in lost
+    assert all(not gone or gone in ({"old"}, {"man"}) for gone, _ in lost) and (frozenset({"man"}), frozenset({"woman", "woma*"})) in lost
