@@ -131,18 +131,21 @@ class Extraction:
     def _plain_word(self, start: int, end: int) -> str:
         """The identifier that an argument is, through casts, parentheses and !."""
         src = self.src
-        while end > start:
-            if src.is_mark(start, "(") and src.tokens[start].pair == end - 1:
+        while end > start + 1:
+            k = start
+            while k < end and src.word(k) not in ("as", "satisfies"):
+                k = src.tokens[k].pair + 1 if src.is_mark(k, "(", "[", "{") and src.tokens[k].pair > 0 else k + 1
+            if start < k < end:
+                end = k
+            elif src.is_mark(start, "(") and src.tokens[start].pair == end - 1:
                 start, end = start + 1, end - 1
             elif src.is_mark(end - 1, "!"):
                 end -= 1
-            elif src.is_mark(start, "<") and src.skip_type_arguments(start) > start:
+            elif src.skip_type_arguments(start) > start:
                 start = src.skip_type_arguments(start)
             else:
-                break
-        if end > start and src.word(start) and (end == start + 1 or src.word(start + 1) in ("as", "satisfies")):
-            return src.word(start)
-        return src.word(start) if end > start + 1 and src.is_mark(start + 1, "!") and src.word(start + 2) == "as" else ""
+                return ""
+        return src.word(start) if end == start + 1 else ""
 
     def _wrappers(self) -> dict[str, tuple[str, int]]:
         """Functions that hand a parameter on as the name of a resource: name to its family and the parameter's place."""

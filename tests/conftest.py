@@ -42,49 +42,65 @@ def write(repo, files):
 
 #: A small shop: scripts that wrap and read tables, components that show values, SQL in two versions, two Python modules.
 SHOP = {
-    "src/api.ts": """const viaRpc = (db, name, args) => db.rpc(name as never, args);
-const viaTable = (db, table) => db.from(table as never);
-export async function saveTicket(db, ticket) {
-  await viaRpc(db, 'save_ticket', {ticket});
-  return viaTable(db, 'tickets').update(ticket);
+    "src/api.ts": """export async function saveTicket(db, ticket) {
+  await runProcedure(db, 'save_ticket', ticket);
+  return table(db, 'tickets').upsert(ticket);
 }
-""",
-    "src/list.ts": """export function listTickets(db) {
-  return db.from('tickets').select('*');
+
+function runProcedure(db, name, payload) {
+  return db.rpc(name!, {payload});
+}
+
+function table(db, which) {
+  return db.from((which) as string);
 }
+""",
+    "src/list.ts": """export const listTickets = async (db) => {
+  const {data} = await db.from('tickets').select('id, title');
+  return data;
+};
 """,
     "src/checks.ts": """export function findConflicts(rows) {
-  return rows.filter(Boolean);
+  const slots = new Map();
+  return rows.filter((row) => slots.has(row.slot) || !slots.set(row.slot, row));
 }
 """,
     "src/board.tsx": """import {useMemo} from 'react';
 import {findConflicts} from './checks';
+
 export function Board({rows}) {
-  const notes = useMemo(() => {
-    const found = findConflicts(rows);
-    const ids = new Set(found.map((row) => row.id));
-    return {ids};
-  }, [rows]);
-  const totals = useMemo(() => ({
-    conflicts: notes.ids.size,
-  }), [notes]);
-  return <Figure value={totals.conflicts} detail="Conflicts / Gaps" />;
+  const clashes = useMemo(() => findConflicts(rows), [rows]);
+  const totals = useMemo(() => {
+    return {open: rows.length, clashing: clashes.length};
+  }, [rows, clashes]);
+  return (
+    <section>
+      <Figure value={totals.clashing} detail="Conflicts / Gaps" />
+    </section>
+  );
 }
 """,
     "tests/api.test.ts": """import {saveTicket} from '../src/api';
-test('saves', () => saveTicket(db, ticket));
+
+test('a ticket is saved', async () => {
+  await saveTicket(fakeDb(), {id: 1});
+});
 """,
-    "migrations/001_tickets.sql": """create table public.tickets(id uuid primary key);
-create function public.save_ticket(ticket jsonb) returns void as $$
-begin insert into public.tickets values ((ticket->>'id')::uuid); end;
-$$ language plpgsql;
+    "migrations/001_tickets.sql": """create table if not exists public.tickets (id bigint, title text);
+
+create or replace function public.save_ticket(payload jsonb)
+returns void language sql as $body$
+  insert into public.tickets (id, title) select (payload->>'id')::bigint, payload->>'title';
+$body$;
 """,
-    "migrations/002_tickets.sql": """create or replace function public.save_ticket(ticket jsonb) returns void as $$
-begin update public.tickets set id=id; end;
-$$ language plpgsql;
+    "migrations/002_tickets.sql": """create or replace function public.save_ticket(payload jsonb)
+returns void language sql as $body$
+  update public.tickets set title = payload->>'title' where id = (payload->>'id')::bigint;
+$body$;
 """,
-    "shop/clean.py": """def tidy_ticket(value):
-    return value.strip()
+    "shop/clean.py": """def tidy_ticket(title):
+    words = title.split()
+    return " ".join(words)
 """,
     "shop/service.py": """from shop.clean import tidy_ticket
 

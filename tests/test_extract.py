@@ -66,16 +66,16 @@ def test_python_and_sql():
     assert extract_python.extract("a.py", "def (") is None
     assert extract_python.absolute_name("a/b/c.py", "d", 2) == "a.d"
     symbols, edges = extract_sql.extract("m.sql", SHOP["migrations/001_tickets.sql"])
-    assert [(s["kind"], s["name"], s["start_line"], s["end_line"]) for s in symbols] == [("function", "public.save_ticket", 2, 4), ("table", "public.tickets", 1, 1)]
-    assert ("public.save_ticket", "accesses_table", "public.tickets", 3) in {(e["source_name"], e["relation"], e["target_name"], e["line"]) for e in edges}
+    assert [(s["kind"], s["name"], s["start_line"], s["end_line"]) for s in symbols] == [("function", "public.save_ticket", 3, 6), ("table", "public.tickets", 1, 1)]
+    assert ("public.save_ticket", "accesses_table", "public.tickets", 5) in {(e["source_name"], e["relation"], e["target_name"], e["line"]) for e in edges}
 
 
 def test_slices_reach_rendered_values():
     flows = Slice("src/board.tsx", SHOP["src/board.tsx"]).flows([{"line": 5, "target": "findConflicts", "relation": "calls"}])
     assert [n["label"] for n in flows[0]["chain"]][-1] == "Figure.value"
     assert flows[0]["sink_context"]["detail"] == "Conflicts / Gaps"
-    mapped = "export function M({rows}) {\n  const mapped = rows.map((row) => ({id: row.id}));\n  return <Stat value={mapped.id} />;\n}\n"
-    assert [n["label"] for n in Slice("m.tsx", mapped).flows([{"line": 2}])[0]["chain"]] == ["mapped", "Stat.value"]
+    tags = "const Tags = ({list}) => {\n  const shown = list.map((x) => ({key: x.key}));\n  return <Tag text={shown.key} />;\n};\n"
+    assert [n["label"] for n in Slice("m.tsx", tags).flows([{"line": 2}])[0]["chain"]] == ["shown", "Tag.text"]
 
 
 def test_hunks():

@@ -64,7 +64,7 @@ def test_inspect(store):
 
 def test_audit_reaches_consumers_and_tests(store, shop):
     text = (shop / "src/api.ts").read_text()
-    write(shop, {"src/api.ts": text.replace("update(ticket)", "update({...ticket})")})
+    write(shop, {"src/api.ts": text.replace("upsert(ticket)", "upsert({...ticket})")})
     with pytest.raises(StaleError):
         maps.audit_change(store, "shop")
     store.index("shop")

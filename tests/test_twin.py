@@ -22,7 +22,7 @@ def test_deleted_file_reaches_its_callers(store, shop, tmp_path):
     assert twin.capture(store, "shop").header["snapshot_digest"] == base.header["snapshot_digest"]
     twin.save(base, tmp_path / "t0")
     (shop / "shop/clean.py").unlink()
-    write(shop, {"src/list.ts": "export function showTickets(db) {\n  return db.from('tickets').select('*');\n}\n"})
+    write(shop, {"src/list.ts": (shop / "src/list.ts").read_text().replace("listTickets", "showTickets")})
     store.index("shop")
     delta = twin.compare(twin.load(store.spark, tmp_path / "t0"), twin.capture(store, "shop"))
     assert delta.changed_paths() == ["shop/clean.py", "src/list.ts"]
@@ -60,7 +60,7 @@ def test_impact_distribution(store):
 
 
 def test_obligations_for_a_diff(store, shop):
-    write(shop, {"src/checks.ts": "export function findConflicts(rows) {\n  return rows.filter((r) => r.bad);\n}\n"})
+    write(shop, {"src/checks.ts": "export function findConflicts(rows) {\n  const slots = new Set();\n  return rows.filter((row) => slots.has(row.slot));\n}\n"})
     store.index("shop")
     found = reactive.field_for_diff(store, "shop", question="conflicts")
     (one,) = found["impact_field"]["obligations"]
