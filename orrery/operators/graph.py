@@ -124,7 +124,7 @@ def page_rank(probabilities: DataFrame, seeds: DataFrame, restart: float = V.RES
 
     probabilities: source, target, probability. The mass stays 1. Every round is a join and an aggregate that combines before
     the shuffle; after ``every`` rounds the state is cut by a checkpoint and the change measured. With ``fixed``
-    all rounds run, uncut, as one plan.
+    all rounds run as one plan over the steps.
     """
     start = seeds.select(F.col("path").alias("node")).distinct()
     start = start.crossJoin(F.broadcast(start.agg(F.count(F.lit(1)).alias("_n")))).select("node", (1.0 / F.col("_n")).alias("_share"))  # one row
@@ -134,8 +134,7 @@ def page_rank(probabilities: DataFrame, seeds: DataFrame, restart: float = V.RES
     back = ends.crossJoin(F.broadcast(start)).select("source", F.col("node").alias("target"), F.col("_share").alias("probability"))
     steps = steps.unionByName(back)
     restarts = start.select("node", (F.col("_share") * restart).alias("mass"))
-    if not fixed:
-        steps = cut(steps)
+    steps = cut(steps)  # every round reads them
     state, k = start.select("node", F.col("_share").alias("mass")), 0
     while k < rounds:
         before = state
