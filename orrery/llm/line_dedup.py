@@ -5,10 +5,15 @@ equals) is a fingerprint, so two documents that share ``window`` lines in a row
 fingerprint is held against its earliest occurrence only; from there the match is extended both ways as long as lines
 are equal, and the later of the two runs goes. A line that goes has an equal line further ahead, so the first of equal
 lines always stays.
+
+That partner may hold less of a run than a later document does, so some repeated runs stay. ``every_run`` has the whole
+rule instead: all windows of lines are held against their own earliest occurrence.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,9 +87,54 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return gone.groupBy("_key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("_part")))).alias("_gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def _windows(hashes: Column, least_lines: int) -> Column:
+    """(_p, _n, _hash) of all windows whose repetition makes ``_n`` lines from ``_p`` on go.
+
+    These are the windows of ``least_lines`` lines that aren't all blank. Blank lines further than that from another
+    line go with a run from there up to them: one window each way, for the blank line alone, as shorter ones have the rest.
+    """
+    blank = F.expr(_BLANK)
+
+    def window(h: Column, p: Column) -> Column:
+        part = [h, *(F.get(hashes, p + k) for k in range(1, least_lines))]
+        some = functools.reduce(Column.__or__, (x != blank for x in part))
+        return _window(p, least_lines, F.when(some, F.concat(*part)))
+
+    solid = F.filter(F.transform(hashes, lambda h, p: F.when(h != blank, p)), lambda p: p.isNotNull())
+
+    def stretches(p: Column, k: Column) -> Column:
+        after = F.coalesce(F.get(solid, k + 1), F.size(hashes)) - p - 1
+        before = p - F.coalesce(F.get(solid, k - 1), F.lit(-1)) - 1
+
+        def up_to(n: Column, way: int) -> Column:
+            places = F.when(n >= least_lines, F.sequence(F.lit(least_lines), n)).otherwise(F.array().cast("array<int>"))
+            return F.transform(places, lambda j: _window(p + way * j, 1, F.concat(F.get(hashes, p), F.encode((way * j).cast("string"), "utf-8"))))
+
+        return F.concat(up_to(after, 1), up_to(before, -1))
+
+    found = F.concat(F.transform(hashes, window), F.flatten(F.transform(solid, stretches)))
+    return F.filter(found, lambda x: x["_hash"].isNotNull())
+
+
+def _window(place: Column, lines: int, content: Column) -> Column:
+    return F.struct(place.cast("int").alias("_p"), F.lit(lines).alias("_n"), F.unhex(F.md5(content)).alias("_hash"))
+
+
+def every_run(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = LEAST_LINES) -> DataFrame:
+    """Like ``repeated_runs``, for every run of ``least_lines`` lines, not all blank, that any earlier place holds, too."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    lines = docs.select(F.col(id_col).alias("_id"), _key(F.col(id_col), text).alias("_key"), _lines(text).alias("_lines"))
+    base = cut(lines.select("_id", "_key", _hashes(F.col("_lines")).alias("_hashes")).dropDuplicates(["_key"]))
+    prints = base.select("_id", "_key", F.inline(_windows(F.col("_hashes"), least_lines)))
+    first = prints.groupBy("_hash").agg(F.min(F.struct("_id", "_key", "_p")).alias("_first"), F.count(F.lit(1)).alias("_count")).where("_count > 1").select("_hash", F.col("_first._key").alias("_from"), F.col("_first._p").alias("_q"))
+    later = prints.join(first, "_hash").where("_key <> _from OR _p <> _q").select("_key", F.explode(F.sequence(F.col("_p"), F.col("_p") + F.col("_n") - 1)).alias("_line"))
+    return later.groupBy("_key").agg(F.sort_array(F.collect_set("_line")).alias("_gone"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=repeated_runs, **how) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, and the columns n_lines and removed_lines (ascending places, from 0).
 
+    ``find`` tells which lines go: ``repeated_runs``, or ``every_run`` for the whole rule.
     Lines end at a line feed; blank lines go only within a longer run. Earlier means a smaller id (null first), then a
     smaller place. Null text stays null and counts as one empty line. Rows that repeat an id are documents of their own
     if their texts differ, else one document whose rows get the same result. Columns named n_lines or removed_lines
@@ -93,7 +143,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rest = [k for k in docs.columns if k not in ("n_lines", "removed_lines")]
     rows = docs.select(*rest, _key(F.col(id_col), text).alias("__key"))
-    gone = repeated_runs(docs, id_col, text_col, **how).select(F.col("_key").alias("__key"), F.col("_gone").alias("__gone"))
+    gone = find(docs, id_col, text_col, **how).select(F.col("_key").alias("__key"), F.col("_gone").alias("__gone"))
     found = rows.join(gone, "__key", "left").withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>"))).withColumn("__lines", _lines(text))
     kept = F.array_join(F.filter("__lines", lambda x, k: ~F.array_contains(F.col("__gone"), k)), "\n")
     out = [F.when(F.size("__gone") > 0, kept).otherwise(F.col(text_col)).alias(k) if k == text_col else F.col(k) for k in rest]

@@ -142,3 +142,50 @@ def test_repeated_rows_share_a_result(spark):
     got = sorted((r["doc_id"] or 0, r["text"]) for r in D.dedup_lines(docs).collect())
     assert got == [(0, rows[0][1]), (1, ""), (2, "x"), (2, "x")]
     assert D.dedup_lines(docs.limit(0)).count() == 0
+
+
+def brute_runs(rows, least_lines, least_chars):
+    """All lines of every run that any earlier place holds, too."""
+    docs = {i: [x if x.strip(" ") else "" for x in (t or "").split("\n")] for i, t in rows}
+    gone = {i: set() for i in docs}
+    places = [(i, p) for i in sorted(docs) for p in range(len(docs[i]))]
+    for i, p in places:
+        for f, q in places:
+            if (f, q) >= (i, p):
+                break
+            own, other, hi = docs[i], docs[f], p
+            if p and q and own[p - 1] == other[q - 1]:
+                continue  # not where a run begins
+            while hi < len(own) and hi + q - p < len(other) and own[hi] == other[hi + q - p]:
+                hi += 1
+            run = own[p:hi]
+            if any(run) and (len(run) >= least_lines or sum(map(len, run)) >= least_chars):
+                gone[i].update(range(p, hi))
+    return {i: sorted(g) for i, g in gone.items()}
+
+
+def line_rows(seed):
+    rng = random.Random(seed)
+    pool = [f"line {k}" for k in range(12)] + ["", "  ", "", "a much longer line that counts for itself alone, by its characters"]
+    rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))) for k in range(40)]
+    return [*rows, (60, "x\n\n\n\n\ny"), (61, "x\n\n \n\nz"), (62, "u\n\n\n\n\ny"), (97, "\n\n"), (98, ""), (99, None), (100, "line 1\n" * 30)]
+
+
+@pytest.mark.parametrize("least_lines", [2, 3])
+def test_every_run_of_lines_goes(spark, least_lines):
+    rows = line_rows(least_lines)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: list(r["removed_lines"]) for r in D.dedup_lines(docs, find=D.every_run, least_lines=least_lines).collect()}
+    assert got == brute_runs(rows, least_lines, 10**9)
+
+
+def test_a_run_that_an_earlier_document_holds_in_part(spark):
+    # The lines that windows select occur first alone; the first of the two documents with the run comes later.
+    rng = random.Random(6)
+    pairs = [(f"left {k}", f"right {k}") for k in range(20)]
+    rows = [(k, f"{a}\nown {k}") for k, (a, _) in enumerate(pairs)] + [(100 + k, f"{b}\nown {100 + k}") for k, (_, b) in enumerate(pairs)]
+    for start in (200, 300):
+        rows += [(start + k, f"own {start + k}\n{a}\n{b}\nalso {start + k}") for k, (a, b) in enumerate(pairs)]
+    rng.shuffle(rows)
+    got = {r["doc_id"]: list(r["removed_lines"]) for r in D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), find=D.every_run).collect()}
+    assert got == {i: [1, 2] if i >= 300 else [] for i, _ in rows}
