@@ -87,18 +87,25 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return gone.groupBy("_key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("_part")))).alias("_gone"))
 
 
-def _windows(hashes: Column, least_lines: int) -> Column:
+def _windows(hashes: Column, chars: Column, least_lines: int, least_chars: int) -> Column:
     """(_p, _n, _hash) of all windows whose repetition makes ``_n`` lines from ``_p`` on go.
 
-    These are the windows of ``least_lines`` lines that aren't all blank. Blank lines further than that from another
+    These are the windows of ``least_lines`` lines, and of fewer with ``least_chars`` characters outside blank lines, that
+    aren't all blank. Blank lines further than that from another
     line go with a run from there up to them: one window each way, for the blank line alone, as shorter ones have the rest.
     """
     blank = F.expr(_BLANK)
 
-    def window(h: Column, p: Column) -> Column:
-        part = [h, *(F.get(hashes, p + k) for k in range(1, least_lines))]
-        some = functools.reduce(Column.__or__, (x != blank for x in part))
-        return _window(p, least_lines, F.when(some, F.concat(*part)))
+    def window(n: int):
+        def at(h: Column, p: Column) -> Column:
+            part = [h, *(F.get(hashes, p + k) for k in range(1, n))]
+            some = functools.reduce(Column.__or__, (x != blank for x in part))
+            if n < least_lines:
+                long = sum((F.when(x != blank, F.get(chars, p + k)).otherwise(0) for k, x in enumerate(part)), F.lit(0))
+                some = some & (long >= least_chars)
+            return _window(p, n, F.when(some, F.concat(*part)))
+
+        return at
 
     solid = F.filter(F.transform(hashes, lambda h, p: F.when(h != blank, p)), lambda p: p.isNotNull())
 
@@ -112,7 +119,7 @@ def _windows(hashes: Column, least_lines: int) -> Column:
 
         return F.concat(up_to(after, 1), up_to(before, -1))
 
-    found = F.concat(F.transform(hashes, window), F.flatten(F.transform(solid, stretches)))
+    found = F.concat(*(F.transform(hashes, window(n)) for n in range(1, least_lines + 1)), F.flatten(F.transform(solid, stretches)))
     return F.filter(found, lambda x: x["_hash"].isNotNull())
 
 
@@ -120,12 +127,15 @@ def _window(place: Column, lines: int, content: Column) -> Column:
     return F.struct(place.cast("int").alias("_p"), F.lit(lines).alias("_n"), F.unhex(F.md5(content)).alias("_hash"))
 
 
-def every_run(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = LEAST_LINES) -> DataFrame:
-    """Like ``repeated_runs``, for every run of ``least_lines`` lines, not all blank, that any earlier place holds, too."""
+def every_run(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = LEAST_LINES, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """Like ``repeated_runs``, for every run of ``least_lines`` lines or ``least_chars`` characters, not all blank, that any earlier place holds, too.
+
+    Characters are those of lines that aren't blank, so that equal runs have equally many.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = docs.select(F.col(id_col).alias("_id"), _key(F.col(id_col), text).alias("_key"), _lines(text).alias("_lines"))
-    base = cut(lines.select("_id", "_key", _hashes(F.col("_lines")).alias("_hashes")).dropDuplicates(["_key"]))
-    prints = base.select("_id", "_key", F.inline(_windows(F.col("_hashes"), least_lines)))
+    base = cut(lines.select("_id", "_key", _hashes(F.col("_lines")).alias("_hashes"), F.transform("_lines", F.length).alias("_chars")).dropDuplicates(["_key"]))
+    prints = base.select("_id", "_key", F.inline(_windows(F.col("_hashes"), F.col("_chars"), least_lines, least_chars)))
     first = prints.groupBy("_hash").agg(F.min(F.struct("_id", "_key", "_p")).alias("_first"), F.count(F.lit(1)).alias("_count")).where("_count > 1").select("_hash", F.col("_first._key").alias("_from"), F.col("_first._p").alias("_q"))
     later = prints.join(first, "_hash").where("_key <> _from OR _p <> _q").select("_key", F.explode(F.sequence(F.col("_p"), F.col("_p") + F.col("_n") - 1)).alias("_line"))
     return later.groupBy("_key").agg(F.sort_array(F.collect_set("_line")).alias("_gone"))
@@ -150,11 +160,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select(*out, F.size("__lines").cast("long").alias("n_lines"), F.col("__gone").alias("removed_lines"))
 
 
-def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def _summary(clean: DataFrame) -> DataFrame:
     return clean.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op6_every_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole rule; op6_line_dedup keeps to its SQL, which finds a part of the runs."""
+    return _summary(dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), find=every_run))
+
+
 ORACLE = f"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 ln AS (SELECT doc_id, k - 1 AS p, ls[k] AS x, CASE WHEN trim(ls[k]) = '' THEN repeat('f', 32) ELSE md5(ls[k]) END AS h FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM docs)),

@@ -175,7 +175,7 @@ def line_rows(seed):
 def test_every_run_of_lines_goes(spark, least_lines):
     rows = line_rows(least_lines)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: list(r["removed_lines"]) for r in D.dedup_lines(docs, find=D.every_run, least_lines=least_lines).collect()}
+    got = {r["doc_id"]: list(r["removed_lines"]) for r in D.dedup_lines(docs, find=D.every_run, least_lines=least_lines, least_chars=10**9).collect()}
     assert got == brute_runs(rows, least_lines, 10**9)
 
 
@@ -189,3 +189,16 @@ def test_a_run_that_an_earlier_document_holds_in_part(spark):
     rng.shuffle(rows)
     got = {r["doc_id"]: list(r["removed_lines"]) for r in D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), find=D.every_run).collect()}
     assert got == {i: [1, 2] if i >= 300 else [] for i, _ in rows}
+
+
+@pytest.mark.parametrize("least_lines", [2, 3])
+def test_every_long_line_goes(spark, least_lines):
+    rng = random.Random(least_lines)
+    # Long lines, whatever their hashes, between fresh lines.
+    longs = [f"{k} " + " ".join(f"word{k * j}" for j in range(60)) for k in range(30)]
+    fresh = [(1000 * j + k + 1000, f"fresh {j} {k}\n{x}\nmore {j} {k}") for j in range(3) for k, x in enumerate(longs)]
+    rows = line_rows(least_lines) + fresh
+    rng.shuffle(rows)
+    got = {r["doc_id"]: list(r["removed_lines"]) for r in D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), find=D.every_run, least_lines=least_lines).collect()}
+    assert got == brute_runs(rows, least_lines, D.LEAST_CHARS)
+    assert all(got[i] == ([1] if i >= 2000 else []) for i, _ in fresh)
