@@ -49,3 +49,19 @@ def test_published_schedule(spark):
 def test_contract(spark):
     assert entry.entry(spark).count() >= 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_distances_reach_all_customers(spark):
+    def table(name):
+        return spark.read.parquet(f"{DATA}/{name}.parquet").collect()
+
+    links = [(f"c{r['c_custkey']}", f"n{r['c_nationkey']}") for r in table("customer")] + [(f"s{r['s_suppkey']}", f"n{r['s_nationkey']}") for r in table("supplier")]
+    links += [(f"n{r['n_nationkey']}", f"r{r['n_regionkey']}") for r in table("nation")]
+    near, want = {}, {"c0": 0}
+    for a, b in links:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    for hops in range(1, 5):
+        want |= {b: hops for a in list(want) for b in near[a] if b not in want}
+    assert any(int(n[1:]) % 3 for n in want if n[0] == "c")
+    assert {r["node"]: r["hops"] for r in queries.QUERIES["hop_distances_whole"](spark, DATA).collect()} == want
