@@ -64,9 +64,17 @@ def shared_consumers(edges: DataFrame, resource: str, consumer: str, order: list
 
 
 def same_name(changed: DataFrame, symbols: DataFrame, name: str, path: str, order: list[str], per_symbol: int = 12) -> DataFrame:
-    """For each changed symbol the first ``per_symbol`` symbols of the same name, A-Z folded, on other paths, as existing_*."""
-    other = symbols.select(*(F.col(c).alias(f"existing_{c}") for c in symbols.columns))
-    pairs = changed.join(other, (F.lower(name) == F.lower(f"existing_{name}")) & (F.col(path) != F.col(f"existing_{path}")))
+    """For each changed symbol the first ``per_symbol`` symbols of the same name, A-Z folded, on other paths, as existing_*.
+
+    Symbols are ranked before the join: the first ``per_symbol`` of a name and path, then the first 2 * ``per_symbol`` of
+    the name. A symbol's own path holds at most half of these, so the rest has all that it may get, and no more pairs
+    than that are made for it.
+    """
+    there = symbols.withColumn("_name", F.lower(name)).where(F.col("_name").isNotNull() & F.col(path).isNotNull())
+    own = there.withColumn("_n", F.row_number().over(W.partitionBy("_name", path).orderBy(*order))).where(F.col("_n") <= per_symbol)
+    first = own.withColumn("_n", F.row_number().over(W.partitionBy("_name").orderBy(*order))).where(F.col("_n") <= 2 * per_symbol)
+    other = first.select("_name", *(F.col(c).alias(f"existing_{c}") for c in symbols.columns))
+    pairs = changed.join(other, (F.lower(name) == F.col("_name")) & (F.col(path) != F.col(f"existing_{path}"))).drop("_name")
     window = W.partitionBy(*changed.columns).orderBy(*(f"existing_{c}" for c in order))
     return pairs.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= per_symbol).drop("_n")
 

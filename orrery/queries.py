@@ -361,8 +361,23 @@ SELECT e.p_partkey, e.p_type, x.p_partkey AS existing_key, x.p_brand AS existing
 """
 )
 def same_name_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _same_name(spark, sf_dir, "p_partkey < 20")
+
+
+@_query(
+    """
+SELECT e.p_partkey, e.p_type, x.p_partkey AS existing_key, x.p_brand AS existing_brand FROM part e, LATERAL (
+  SELECT p_partkey, p_brand FROM part WHERE lower(p_type) = lower(e.p_type) AND p_brand <> e.p_brand ORDER BY p_brand, p_partkey LIMIT 12) x
+"""
+)
+def same_name_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For all parts; same_name_candidates keeps to its SQL, which asks for 20."""
+    return _same_name(spark, sf_dir)
+
+
+def _same_name(spark: SparkSession, sf_dir: str, changed: str = "true") -> DataFrame:
     parts = _read(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
-    found = L.same_name(parts.where("p_partkey < 20"), parts, "p_type", "p_brand", ["p_brand", "p_partkey"])
+    found = L.same_name(parts.where(changed), parts, "p_type", "p_brand", ["p_brand", "p_partkey"])
     return found.select("p_partkey", "p_type", F.col("existing_p_partkey").alias("existing_key"), F.col("existing_p_brand").alias("existing_brand"))
 
 

@@ -101,3 +101,25 @@ def test_bm25_ranks_phrases(spark):
     docs = spark.createDataFrame([(1, "foo bar baz"), (2, "bar foo"), (3, "Fóo Bar foo bar"), (4, "nothing here")], "id long, text string")
     found = [r["id"] for r in R.bm25(docs, ["foo.bar"], {"text": 1.0}).orderBy(F.desc("score")).collect()]
     assert found == [3, 1]
+
+
+def test_same_name_makes_few_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k, rng.choice(["run", "Run", "stop", None]), rng.choice(["a", "a", "a", "b", "c", "d", None])) for k in range(400)]
+    symbols = spark.createDataFrame(rows, "id long, name string, path string")
+    got = {}
+    for r in L.same_name(symbols, symbols, "name", "path", ["path", "id"]).collect():
+        got.setdefault(r["id"], []).append(r["existing_id"])
+    want = {}
+    for k, name, path in rows:
+        if name and path:
+            want[k] = [i for p, i in sorted((p, i) for i, n, p in rows if n and p and n.lower() == name.lower() and p != path)][:12]
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    plan = spark.range(2000).selectExpr("id", "'same' AS name", "CAST(id % 50 AS STRING) AS path")
+    found = L.same_name(plan, plan, "name", "path", ["path", "id"])
+    assert found.count() == 2000 * 12
+    # What the join makes, before the last ranking.
+    made, join = [], type(plan).join
+    monkeypatch.setattr(type(plan), "join", lambda *a: made.append(join(*a)) or made[-1])
+    L.same_name(plan, plan, "name", "path", ["path", "id"])
+    assert max(df.count() for df in made) <= 2000 * 24
