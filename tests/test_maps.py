@@ -1,6 +1,9 @@
+from types import SimpleNamespace
+
 import pytest
 
 from orrery.plans import maps
+from orrery.plans.expand import Question
 from orrery.sources.store import StaleError, Store
 
 from .conftest import write
@@ -54,6 +57,16 @@ def test_map(store):
     assert found["retrieval"]["mode"] == "lexical+graph"
 
 
+def test_lineage_of_many_functions(spark):
+    called = [f"public.Made_{k}" for k in range(1500)]
+    known = [(f"{v}.sql", "function", f"public.made_{k}" if k % 2 else f"MADE_{k}", f"public.made_{k}" if k % 2 else f"other.made_{k}", 1, 2, v) for k in range(1500) for v in (0, 1)]
+    known += [("2.sql", "function", "made_3", "public.made_3", 1, 2, 1), ("3.sql", "function", None, None, 1, 2, 1), ("4.sql", "table", "made_3", "public.made_3", 1, 2, 1)]
+    tables = {"symbols": spark.createDataFrame(known, "path string, kind string, name string, qualified_name string, start_line int, end_line int, active int")}
+    found = SimpleNamespace(facts=spark.createDataFrame([("calls_rpc", t) for t in called], "relation string, target string"))
+    got = maps._lineage(SimpleNamespace(table=lambda _, name: tables[name]), "p", found, Question(""))
+    assert {n: [v["path"] for v in own] for n, own in got.items()} == {f"Made_{k}": ["2.sql"] * (k == 3) + ["1.sql", "0.sql"] for k in range(1500)}
+
+
 def test_inspect(store):
     found = maps.inspect_symbol(store, "shop", "save_ticket")
     assert {d["active"] for d in found["definitions"]} == {0, 1}
