@@ -28,8 +28,10 @@ MOST_FEATURES = 2000
 CHANCE = 0.05
 RIDGE = 0.05
 SWAP_PENALTY = 10.0
-#: Of labelled texts whose so many smallest word hashes are equal (copies and near copies), one counts.
+#: Labelled texts whose so many smallest word hashes are equal may be copies or near copies.
 SKETCH = 3
+#: Of these, texts that share so much of their words (of either) count once.
+NEAR = 0.8
 #: Beginnings of longer words are features, too: endings vary.
 PREFIXES = (4, 5, 6, 7)
 STEPS = 50
@@ -154,6 +156,26 @@ def fold(id_col: Column) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(FOLDS))
 
 
+def distinct_texts(texts: DataFrame, near: float = NEAR) -> DataFrame:
+    """_row of the texts that stay: those that don't share ``near`` of their words with an earlier one of their sketch and label that stays.
+
+    Only hashes of the words come together, once for each set of words.
+    """
+    marks = F.transform(F.filter("_words", lambda w: ~w.endswith("*")), lambda w: F.xxhash64(w))
+    light = texts.select("_sketch", "_label", F.sort_array(marks).alias("_marks"), F.struct("_id", F.xxhash64("_swaps").alias("_held"), "_row").alias("_at"))
+    sets = light.groupBy("_sketch", "_label", F.md5(F.array_join(F.col("_marks").cast("array<string>"), " ").cast("binary"))).agg(F.min(F.struct("_at", "_marks")).alias("_one"))
+
+    def alike(a: Column, b: Column) -> Column:
+        common = F.size(F.array_intersect(a, b))
+        return common >= near * (F.size(a) + F.size(b) - common)
+
+    def step(kept: Column, x: Column) -> Column:
+        return F.when(F.exists(kept, lambda k: alike(k["_marks"], x["_marks"])), kept).otherwise(F.concat(kept, F.array(x)))
+
+    groups = sets.groupBy("_sketch", "_label").agg(F.sort_array(F.collect_list("_one")).alias("_all"))
+    return groups.select(F.explode(F.aggregate("_all", F.slice("_all", 1, 0), step)).alias("_one")).select("_one._at._row")
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_ROWS) -> Model:
     """Fits a Model on at most ``most`` rows whose fold isn't 0, chosen by the hash of their id. Null labels and ids don't count; of several labels for an id the largest holds."""
     usable = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id IS NOT NULL AND _label IS NOT NULL").where(fold(F.col("_id")) != 0)
@@ -170,7 +192,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     # chosen holds two numbers for each of at most ``most`` rows, so it may be broadcast.
     found = texts.join(F.broadcast(chosen), "_id").mapInArrow(tidy(read), "_id long, _label int, _words array<string>, _swaps array<string>, _sketch string").withColumn("_label", (F.col("_label") > 0).cast("int"))
-    found = cut(found.groupBy("_sketch", "_label").agg(F.min(F.struct("_id", "_words", "_swaps")).alias("_one")).select("_one.*", "_label"))
+    found = cut(found.withColumn("_row", F.monotonically_increasing_id()))
+    # One number for each text that stays.
+    found = found.join(F.broadcast(cut(distinct_texts(found))), "_row", "left_semi")
     names = choose_features(found)
     # What goes to the driver: the features of at most ``most`` texts.
     few = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")

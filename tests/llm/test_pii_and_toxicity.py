@@ -136,3 +136,20 @@ def test_edge_rows(spark):
     assert T.toxicity(docs.limit(0), labels).count() == 0
     lost = T.swaps("The old tree. A man walks, old man!")
     assert all(not gone or gone in ({"old"}, {"man"}) for gone, _ in lost) and (frozenset({"man"}), frozenset({"woman", "woma*"})) in lost
+
+
+def test_only_near_copies_count_once(spark, monkeypatch):
+    import xxhash
+
+    least = sorted((f"{a}{b}{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwx"), key=xxhash.xxh3_64_hexdigest)
+    first, others = least[: T.SKETCH], least[T.SKETCH :]
+    # The same least hashes: texts of other words, of the same words, and with one word more.
+    own = [first + others[10 * k : 10 * k + 10] for k in range(12)]
+    texts = [x for words in own for x in (words, words[::-1], [*words, others[200]])]
+    rows = [(k, " ".join(x), k // 3 % 2) for k, x in enumerate(texts)]
+    rows += [(100 + k, " ".join(others[300 + k : 310 + k]), k % 2) for k in range(20)]
+    seen, fit = [], T.fit
+    monkeypatch.setattr(T, "fit", lambda found, names: seen.append(len(found)) or fit(found, names))
+    monkeypatch.setattr(T, "fold", lambda column: T.F.lit(1))
+    T.train(*tables(spark, rows))
+    assert seen == [12 + 20]
