@@ -8,7 +8,8 @@ import gc
 import tempfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The upper-case and lower-case ASCII letters, for folding A-Z only.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -19,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_row(columns: list[str], name: str = "_row") -> Column:
+    """The columns in one struct, so that none of them can clash with a name used beside it."""
+    return F.struct(*(F.col("`" + k.replace("`", "``") + "`") for k in columns)).alias(name)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's spark.checkpoint.dir, or one set here for a local session."""
     context = spark.sparkContext

@@ -1,13 +1,14 @@
 """Line dedup by winnowing, with DataFrame functions only.
 
-A document is the sequence of its lines' hashes. In every window of ``window`` lines the smallest hash (the last of
-equals) is a fingerprint, so two documents that share ``window`` lines in a row share a fingerprint among them. Each
-fingerprint is held against its earliest occurrence only; from there the match is extended both ways as long as lines
-are equal, and the later of the two runs goes. A line that goes has an equal line further ahead, so the first of equal
-lines always stays.
-
-That partner may hold less of a run than a later document does, so some repeated runs stay. ``every_run`` has the whole
-rule instead: all windows of lines are held against their own earliest occurrence.
+A document is the sequence of its lines' hashes. In every window of ``least_lines`` lines the smallest hash (the last of
+equals) is the fingerprint; a line of ``least_chars`` characters is one by itself, and so is every shorter window that has so
+many. A fingerprint's line alone doesn't tell which earlier place holds the same run: the earliest place of the line may
+have other lines around it. So positions are joined by the fingerprint together with the rest of its window, and every
+window meets its own first copy. The match is extended both ways from the fingerprint, over the window and on over
+blank lines; matches that touch are one run, and the later run goes. The first of equal lines always stays.
+
+What goes: every line of a run of lines, not all blank, that an earlier place holds, too, if the run has ``least_lines``
+lines or ``least_chars`` characters outside blank lines. The work grows with the number of lines, repeated or not.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, whole_row
 
-WINDOW = 2
 #: A run goes if it has so many lines or so many characters.
 LEAST_LINES, LEAST_CHARS = 2, 40
+#: Windows with more than this share (1 in so many) of all repeated ones are so few that their first places are broadcast.
+HOT_SHARE = 1000
 #: Blank lines hash to the largest value: they're fingerprints only of blank windows, which are left out.
 _BLANK = "unhex('ffffffffffffffffffffffffffffffff')"
 
@@ -34,65 +36,20 @@ def _hashes(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.when(F.trim(x) == "", F.expr(_BLANK)).otherwise(F.unhex(F.md5(x))))
 
 
-def _fingerprints(hashes: Column, window: int) -> Column:
-    """Places of the fingerprints, ascending, each once."""
-
-    def place(start: Column) -> Column:
-        part = F.slice(hashes, start + 1, F.lit(window))
-        return start + F.size(part) - F.array_position(F.reverse(part), F.array_min(part)).cast("int")
-
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(hashes) - window, F.lit(0))), place))
-
-
-def _runs(one: Column, two: Column, matches: Column) -> Column:
-    """(lo, hi) of every run of equal lines on a diagonal that has a match (_p, _q) in it."""
-    none = F.expr("CAST(array() AS ARRAY<STRUCT<lo: INT, hi: INT>>)")
-
-    def on(diagonal: Column) -> Column:
-        low, high = F.greatest(F.lit(0), -diagonal), F.least(F.size(one), F.size(two) - diagonal) - 1
-
-        def step(done: Column, k: Column) -> Column:
-            same = F.get(one, k) == F.get(two, k + diagonal)
-            ends = ~same & (done["open"] >= 0)
-            runs = F.when(ends, F.concat(done["runs"], F.array(F.struct(done["open"].alias("lo"), (k - 1).alias("hi"))))).otherwise(done["runs"])
-            return F.struct(F.when(same & (done["open"] < 0), k).when(~same, -1).otherwise(done["open"]).alias("open"), runs.alias("runs"))
-
-        done = F.aggregate(F.sequence(low, high), F.struct(F.lit(-1).alias("open"), none.alias("runs")), step)
-        runs = F.when(done["open"] >= 0, F.concat(done["runs"], F.array(F.struct(done["open"].alias("lo"), high.alias("hi"))))).otherwise(done["runs"])
-        return F.filter(runs, lambda r: F.exists(matches, lambda m: (m["_q"] - m["_p"] == diagonal) & m["_p"].between(r["lo"], r["hi"])))
-
-    return F.array_distinct(F.flatten(F.transform(F.array_distinct(F.transform(matches, lambda m: m["_q"] - m["_p"])), on)))
-
-
 def _key(id_col: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit(":"), text)))
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_lines: int = LEAST_LINES, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """_key (of id and text) and _gone, the ascending places of the lines that go, for documents with any."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = docs.select(F.col(id_col).alias("_id"), _key(F.col(id_col), text).alias("_key"), _lines(text).alias("_lines"))
-    base = cut(lines.select("_id", "_key", _hashes(F.col("_lines")).alias("_hashes"), F.transform("_lines", F.length).alias("_chars")).dropDuplicates(["_key"]))
-    prints = base.select("_id", "_key", "_hashes", F.explode(_fingerprints(F.col("_hashes"), window)).alias("_p")).select("_id", "_key", "_p", F.get("_hashes", F.col("_p")).alias("_hash")).where(f"_hash <> {_BLANK}")
-    first = prints.groupBy("_hash").agg(F.min(F.struct("_id", "_key", "_p")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash", F.col("_first._key").alias("_from"), F.col("_first._p").alias("_q"))
-    later = prints.join(first, "_hash").where("_key <> _from OR _p <> _q").groupBy("_key", "_from").agg(F.collect_set(F.struct("_p", "_q")).alias("_matches"))
-    two = base.select(F.col("_key").alias("_from"), F.col("_hashes").alias("_other"))
-    runs = later.join(base, "_key").join(two, "_from").select("_key", "_chars", _runs(F.col("_hashes"), F.col("_other"), F.col("_matches")).alias("_runs"))
-
-    def goes(run: Column) -> Column:
-        long = F.aggregate(F.slice("_chars", run["lo"] + 1, run["hi"] - run["lo"] + 1), F.lit(0), lambda a, b: a + b)
-        return (run["hi"] - run["lo"] + 1 >= least_lines) | (long >= least_chars)
-
-    gone = runs.select("_key", F.flatten(F.transform(F.filter("_runs", goes), lambda r: F.sequence(r["lo"], r["hi"]))).alias("_part")).where(F.size("_part") > 0)
-    return gone.groupBy("_key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("_part")))).alias("_gone"))
+def _print(place: Column, before: Column, after: Column, content: Column) -> Column:
+    """A fingerprint at ``place``, whose match reaches so many lines back and on."""
+    return F.struct(place.cast("int").alias("_p"), before.cast("int").alias("_before"), after.cast("int").alias("_after"), F.unhex(F.md5(content)).alias("_hash"))
 
 
-def _windows(hashes: Column, chars: Column, least_lines: int, least_chars: int) -> Column:
-    """(_p, _n, _hash) of all windows whose repetition makes ``_n`` lines from ``_p`` on go.
+def _fingerprints(hashes: Column, chars: Column, solid: Column, least_lines: int, least_chars: int) -> Column:
+    """(_p, _before, _after, _hash) of the fingerprint of every window: the hash is that of the window's lines. ``solid`` holds the places of the lines that aren't blank.
 
-    These are the windows of ``least_lines`` lines, and of fewer with ``least_chars`` characters outside blank lines, that
-    aren't all blank. Blank lines further than that from another
-    line go with a run from there up to them: one window each way, for the blank line alone, as shorter ones have the rest.
+    Blank lines further than a window from another line go with a run from there up to them: one
+    fingerprint each way, for the blank line alone, as shorter runs have the rest.
     """
     blank = F.expr(_BLANK)
 
@@ -103,19 +60,19 @@ def _windows(hashes: Column, chars: Column, least_lines: int, least_chars: int)
             if n < least_lines:
                 long = sum((F.when(x != blank, F.get(chars, p + k)).otherwise(0) for k, x in enumerate(part)), F.lit(0))
                 some = some & (long >= least_chars)
-            return _window(p, n, F.when(some, F.concat(*part)))
+            least = F.least(*part) if n > 1 else h
+            place = F.coalesce(*(F.when(x == least, k) for k, x in reversed(list(enumerate(part)))))
+            return _print(p + place, place, n - 1 - place, F.when(some, F.concat(*part)))
 
         return at
 
-    solid = F.filter(F.transform(hashes, lambda h, p: F.when(h != blank, p)), lambda p: p.isNotNull())
-
     def stretches(p: Column, k: Column) -> Column:
         after = F.coalesce(F.get(solid, k + 1), F.size(hashes)) - p - 1
         before = p - F.coalesce(F.get(solid, k - 1), F.lit(-1)) - 1
 
         def up_to(n: Column, way: int) -> Column:
             places = F.when(n >= least_lines, F.sequence(F.lit(least_lines), n)).otherwise(F.array().cast("array<int>"))
-            return F.transform(places, lambda j: _window(p + way * j, 1, F.concat(F.get(hashes, p), F.encode((way * j).cast("string"), "utf-8"))))
+            return F.transform(places, lambda j: _print(p + way * j, F.lit(0), F.lit(0), F.concat(F.get(hashes, p), F.encode((way * j).cast("string"), "utf-8"))))
 
         return F.concat(up_to(after, 1), up_to(before, -1))
 
@@ -123,72 +80,71 @@ def _windows(hashes: Column, chars: Column, least_lines: int, least_chars: int)
     return F.filter(found, lambda x: x["_hash"].isNotNull())
 
 
-def _window(place: Column, lines: int, content: Column) -> Column:
-    return F.struct(place.cast("int").alias("_p"), F.lit(lines).alias("_n"), F.unhex(F.md5(content)).alias("_hash"))
-
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = LEAST_LINES, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """_key (of id and text) and _gone, the ascending places of the lines that go, for documents with any.
 
-def every_run(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = LEAST_LINES, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """Like ``repeated_runs``, for every run of ``least_lines`` lines or ``least_chars`` characters, not all blank, that any earlier place holds, too.
-
-    Characters are those of lines that aren't blank, so that equal runs have equally many.
+    A window that very many places hold (a license line) is one row per task before its first place is known. The few
+    such windows are then broadcast (fewer than ``HOT_SHARE``, since each has more than one in so many of all repeats), and their places dealt out by document, not by window.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = docs.select(F.col(id_col).alias("_id"), _key(F.col(id_col), text).alias("_key"), _lines(text).alias("_lines"))
-    base = cut(lines.select("_id", "_key", _hashes(F.col("_lines")).alias("_hashes"), F.transform("_lines", F.length).alias("_chars")).dropDuplicates(["_key"]))
-    prints = base.select("_id", "_key", F.inline(_windows(F.col("_hashes"), F.col("_chars"), least_lines, least_chars)))
-    first = prints.groupBy("_hash").agg(F.min(F.struct("_id", "_key", "_p")).alias("_first"), F.count(F.lit(1)).alias("_count")).where("_count > 1").select("_hash", F.col("_first._key").alias("_from"), F.col("_first._p").alias("_q"))
-    later = prints.join(first, "_hash").where("_key <> _from OR _p <> _q").select("_key", F.explode(F.sequence(F.col("_p"), F.col("_p") + F.col("_n") - 1)).alias("_line"))
-    return later.groupBy("_key").agg(F.sort_array(F.collect_set("_line")).alias("_gone"))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=repeated_runs, **how) -> DataFrame:
+    solid = F.filter(F.transform("_lines", lambda x, p: F.when(F.trim(x) != "", p)), lambda p: p.isNotNull())
+    # Columns of a checkpoint, not expressions: lambdas would work an expression out again for every line.
+    base = cut(lines.select("_id", "_key", _hashes(F.col("_lines")).alias("_hashes"), F.transform("_lines", F.length).alias("_chars"), solid.alias("_solid")))
+    prints = base.select("_id", "_key", F.inline(_fingerprints(F.col("_hashes"), F.col("_chars"), F.col("_solid"), least_lines, least_chars)))
+    found = prints.groupBy("_hash").agg(F.min(F.struct("_id", "_key", "_p")).alias("_first"), F.count(F.lit(1)).alias("_count")).where("_count > 1")
+    first = cut(found.select("_hash", F.struct(F.col("_first._key").alias("key"), F.col("_first._p").alias("p")).alias("_from"), "_count"))
+    least = (first.agg(F.coalesce(F.sum("_count"), F.lit(0))).first()[0]) // HOT_SHARE
+    hot = first.where(F.col("_count") > least + 1).select("_hash", F.col("_from").alias("_hot"))
+    cold = first.where(F.col("_count") <= least + 1).select("_hash", F.lit(0).alias("_salt"), "_from")
+    spread = F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.hash("_key", "_p"), F.lit(HOT_SHARE)) + 1)
+    met = prints.join(F.broadcast(hot), "_hash", "left").withColumn("_salt", spread).join(cold, ["_hash", "_salt"], "left").withColumn("_from", F.coalesce("_hot", "_from"))
+    later = met.where("_from IS NOT NULL AND NOT (_key = _from.key AND _p = _from.p)")
+    runs = later.groupBy("_key").agg(F.collect_list(F.sequence(F.col("_p") - F.col("_before"), F.col("_p") + F.col("_after"))).alias("_runs"))
+    return runs.select("_key", F.sort_array(F.array_distinct(F.flatten("_runs"))).alias("_gone"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, and the columns n_lines and removed_lines (ascending places, from 0).
 
-    ``find`` tells which lines go: ``repeated_runs``, or ``every_run`` for the whole rule.
-    Lines end at a line feed; blank lines go only within a longer run. Earlier means a smaller id (null first), then a
-    smaller place. Null text stays null and counts as one empty line. Rows that repeat an id are documents of their own
-    if their texts differ, else one document whose rows get the same result. Columns named n_lines or removed_lines
-    are replaced; all others stay. An empty table gives no rows.
+    Lines end at a line feed; blank lines (empty, or spaces alone) go only within a longer run. Earlier means a smaller id
+    (null first), then a smaller place. Null text stays null and counts as one empty line. Rows that repeat an id are
+    documents of their own if their texts differ, else one document whose rows get the same result. Columns named n_lines
+    or removed_lines are replaced; all others stay, whatever their names. Very long texts cost in proportion. An empty
+    table gives no rows.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rest = [k for k in docs.columns if k not in ("n_lines", "removed_lines")]
-    rows = docs.select(*rest, _key(F.col(id_col), text).alias("__key"))
-    gone = find(docs, id_col, text_col, **how).select(F.col("_key").alias("__key"), F.col("_gone").alias("__gone"))
-    found = rows.join(gone, "__key", "left").withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>"))).withColumn("__lines", _lines(text))
-    kept = F.array_join(F.filter("__lines", lambda x, k: ~F.array_contains(F.col("__gone"), k)), "\n")
-    out = [F.when(F.size("__gone") > 0, kept).otherwise(F.col(text_col)).alias(k) if k == text_col else F.col(k) for k in rest]
-    return found.select(*out, F.size("__lines").cast("long").alias("n_lines"), F.col("__gone").alias("removed_lines"))
-
-
-def _summary(clean: DataFrame) -> DataFrame:
-    return clean.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(whole_row(rest), _key(F.col(id_col), text).alias("_key"))
+    found = rows.join(repeated_runs(docs, id_col, text_col, **how), "_key", "left").select("_row", F.coalesce("_gone", F.array().cast("array<int>")).alias("_gone"))
+    lines = _lines(F.coalesce(F.col("_row")[text_col].cast("string"), F.lit("")))
+    found = found.select("_row", "_gone", lines.alias("_lines"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    left = F.array_join(F.transform(stay, lambda k: F.get(F.col("_lines"), k)), "\n")
+    out = [F.when(F.size("_gone") > 0, left).otherwise(F.col("_row")[k]).alias(k) if k == text_col else F.col("_row")[k].alias(k) for k in rest]
+    return found.select(*out, F.size("_lines").cast("long").alias("n_lines"), F.col("_gone").alias("removed_lines"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _summary(dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
-
-
-def op6_every_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole rule; op6_line_dedup keeps to its SQL, which finds a part of the runs."""
-    return _summary(dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), find=every_run))
+    """Per document: doc_id, n_lines, n_removed, removed (places, comma-joined), clean_sha256. Null and empty texts count as one line; an empty table gives no rows."""
+    clean = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return clean.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"))
 
 
+#: From the statement: the shortest runs that make lines go are two lines, one long line, and a line with the blank lines up to one beside it.
 ORACLE = f"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-ln AS (SELECT doc_id, k - 1 AS p, ls[k] AS x, CASE WHEN trim(ls[k]) = '' THEN repeat('f', 32) ELSE md5(ls[k]) END AS h FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM docs)),
-win AS (SELECT s.doc_id, s.p AS s, arg_max(l.p, l.p) FILTER (l.h = s.m) AS p FROM
-  (SELECT a.doc_id, a.p, min(b.h) AS m FROM ln a JOIN ln b ON a.doc_id = b.doc_id AND b.p BETWEEN a.p AND a.p + {WINDOW - 1} JOIN docs d ON d.doc_id = a.doc_id
-   WHERE a.p <= greatest(len(d.ls) - {WINDOW}, 0) GROUP BY a.doc_id, a.p) s
-  JOIN ln l ON l.doc_id = s.doc_id AND l.p BETWEEN s.p AND s.p + {WINDOW - 1} GROUP BY s.doc_id, s.p),
-fp AS (SELECT DISTINCT ln.doc_id, ln.p, ln.h FROM win JOIN ln USING (doc_id, p) WHERE ln.h <> repeat('f', 32)),
-one AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS k FROM fp),
-m AS (SELECT a.doc_id, a.p, b.doc_id AS f, b.p - a.p AS d FROM one a JOIN one b ON a.h = b.h AND b.k = 1 AND a.k > 1),
-diag AS (SELECT DISTINCT doc_id, f, d FROM m),
-eq AS (SELECT g.doc_id, g.f, g.d, a.p, length(a.x) AS c, a.p - row_number() OVER (PARTITION BY g.doc_id, g.f, g.d ORDER BY a.p) AS island
-  FROM diag g JOIN ln a ON a.doc_id = g.doc_id JOIN ln b ON b.doc_id = g.f AND b.p = a.p + g.d AND a.h = b.h),
-runs AS (SELECT doc_id, f, d, min(p) AS lo, max(p) AS hi, sum(c) AS c FROM eq GROUP BY doc_id, f, d, island),
-gone AS (SELECT DISTINCT r.doc_id, unnest(range(r.lo, r.hi + 1)) AS p FROM runs r
-  WHERE (r.hi - r.lo + 1 >= {LEAST_LINES} OR r.c >= {LEAST_CHARS}) AND EXISTS (SELECT 1 FROM m WHERE m.doc_id = r.doc_id AND m.f = r.f AND m.d = r.d AND m.p BETWEEN r.lo AND r.hi))
+ln AS (SELECT doc_id, k - 1 AS p, ls[k] AS x, CASE WHEN trim(ls[k]) = '' THEN '' ELSE md5(ls[k]) END AS h FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM docs)),
+around AS (SELECT *, lead(h) OVER line AS next_h, max(CASE WHEN h <> '' THEN p END) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS text_before,
+    min(CASE WHEN h <> '' THEN p END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS text_after
+  FROM ln WINDOW line AS (PARTITION BY doc_id ORDER BY p)),
+runs AS (
+  SELECT doc_id, p AS lo, p + 1 AS hi, h || '/' || next_h AS what FROM around WHERE next_h IS NOT NULL AND h || next_h <> ''
+  UNION ALL SELECT doc_id, p, p, h FROM around WHERE h <> '' AND length(x) >= {LEAST_CHARS}
+  UNION ALL SELECT b.doc_id, s.p, b.p, s.h || '+' || (b.p - s.p) FROM around b JOIN ln s ON s.doc_id = b.doc_id AND s.p = b.text_before WHERE b.h = ''
+  UNION ALL SELECT b.doc_id, b.p, s.p, (s.p - b.p) || '+' || s.h FROM around b JOIN ln s ON s.doc_id = b.doc_id AND s.p = b.text_after WHERE b.h = ''),
+placed AS (SELECT *, row_number() OVER (PARTITION BY what ORDER BY doc_id, lo) AS k FROM runs),
+gone AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS p FROM placed WHERE k > 1)
 SELECT ln.doc_id, count(*) AS n_lines, count(gone.p) AS n_removed, coalesce(string_agg(gone.p::VARCHAR, ',' ORDER BY ln.p), '') AS removed,
   sha256(coalesce(string_agg(CASE WHEN gone.p IS NULL THEN ln.x END, chr(10) ORDER BY ln.p), '')) AS clean_sha256
 FROM ln LEFT JOIN gone ON gone.doc_id = ln.doc_id AND gone.p = ln.p GROUP BY ln.doc_id

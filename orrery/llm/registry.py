@@ -11,7 +11,6 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_line_dedup": line_dedup.op6_line_dedup,
-    "op6_every_run": line_dedup.op6_every_run,
     "op7_lattice": lattice.op7_lattice,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_packing": packing.op9_packing,

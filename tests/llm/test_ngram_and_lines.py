@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -95,47 +96,6 @@ def test_long_texts_in_slices():
     assert len(J.gram_sets(pa.array([long, None, "a"]))[0]) == 49_996
 
 
-def brute_lines(rows, window=D.WINDOW, least_lines=D.LEAST_LINES, least_chars=D.LEAST_CHARS):
-    blank = "f" * 32
-    docs = {i: (t or "").split("\n") for i, t in rows}
-    keys = {i: [blank if not x.strip(" ") else hashlib.md5(x.encode()).hexdigest() for x in own] for i, own in docs.items()}
-    prints = set()
-    for i, own in keys.items():
-        for s in range(max(1, len(own) - window + 1)):
-            part = own[s : s + window]
-            p = s + max(k for k, h in enumerate(part) if h == min(part))
-            if own[p] != blank:
-                prints.add((i, p))
-    first = {}
-    for i, p in sorted(prints):
-        first.setdefault(keys[i][p], (i, p))
-    gone = {i: set() for i in docs}
-    for i, p in prints:
-        f, q = first[keys[i][p]]
-        if (f, q) == (i, p):
-            continue
-        lo = hi = p
-        while lo > 0 and lo + q - p > 0 and keys[i][lo - 1] == keys[f][lo - 1 + q - p]:
-            lo -= 1
-        while hi + 1 < len(keys[i]) and hi + 1 + q - p < len(keys[f]) and keys[i][hi + 1] == keys[f][hi + 1 + q - p]:
-            hi += 1
-        if hi - lo + 1 >= least_lines or sum(len(x) for x in docs[i][lo : hi + 1]) >= least_chars:
-            gone[i].update(range(lo, hi + 1))
-    return {i: (sorted(gone[i]), "\n".join(x for k, x in enumerate(own) if k not in gone[i])) for i, own in docs.items()}
-
-
-def test_lines_equal_brute_force(spark):
-    rng = random.Random(4)
-    pool = [f"line {k}" for k in range(12)] + ["", "  ", "a much longer line that counts for itself alone, by its characters"]
-    rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))) for k in range(40)] + [(99, None), (98, ""), (97, "\n\n"), (96, "line 1\n" * 3000)]
-    docs = spark.createDataFrame([(i, t, 7, "x") for i, t in rows], "doc_id long, text string, n_lines int, _key string")
-    got = {r["doc_id"]: (list(r["removed_lines"]), r["text"]) for r in D.dedup_lines(docs).collect()}
-    want = brute_lines(rows)
-    want[99] = ([], None)
-    assert got == want
-    assert any(g for g, _ in got.values())
-
-
 def test_repeated_rows_share_a_result(spark):
     rows = [(1, "first line of it\nsecond line of it"), (2, "first line of it\nsecond line of it\nx"), (2, "first line of it\nsecond line of it\nx"), (None, "first line of it\nsecond line of it")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -175,10 +135,37 @@ def line_rows(seed):
 def test_every_run_of_lines_goes(spark, least_lines):
     rows = line_rows(least_lines)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: list(r["removed_lines"]) for r in D.dedup_lines(docs, find=D.every_run, least_lines=least_lines, least_chars=10**9).collect()}
+    got = {r["doc_id"]: list(r["removed_lines"]) for r in D.dedup_lines(docs, least_lines=least_lines, least_chars=10**9).collect()}
     assert got == brute_runs(rows, least_lines, 10**9)
 
 
+def test_lines_equal_brute_force(spark):
+    rows = [*line_rows(4), (96, "line 1\n" * 300), (95, "\t\n\r\nline 3\r\n\t")]
+    docs = spark.createDataFrame([(i, t, 7, "x", "y", "z") for i, t in rows], "doc_id long, text string, n_lines int, _key string, _row string, _gone string")
+    clean = D.dedup_lines(docs)
+    assert clean.columns == ["doc_id", "text", "_key", "_row", "_gone", "n_lines", "removed_lines"]
+    got = {r["doc_id"]: (list(r["removed_lines"]), r["text"], r["n_lines"], r["_row"]) for r in clean.collect()}
+    gone, texts = brute_runs(rows, D.LEAST_LINES, D.LEAST_CHARS), dict(rows)
+    want = {i: (gone[i], None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), len((t or "").split("\n")), "y") for i, t in texts.items()}
+    assert got == want and any(g for g, *_ in got.values())
+
+
+def test_the_third_document_repeats_the_second(spark):
+    # x is the smaller hash, and its first place has another neighbour.
+    x, *others = sorted((f"l{k}" for k in range(9)), key=lambda v: hashlib.md5(v.encode()).hexdigest())
+    rows = [(1, f"{x}\n{others[0]}"), (2, f"{x}\n{others[1]}"), (3, f"{x}\n{others[1]}")]
+    got = {r["doc_id"]: list(r["removed_lines"]) for r in D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [], 3: [0, 1]}
+
+
+def test_very_many_equal_lines_take_seconds(spark):
+    rows = [(1, "the same\n" * 40_000), (2, "the same\n" * 20_000), (3, "other\n" + "\n" * 20_000)]
+    began = time.perf_counter()
+    got = {r["doc_id"]: (len(r["removed_lines"]), r["text"]) for r in D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (39_999, "the same\n") and got[2] == (20_001, "") and got[3][0] == 0
+    assert time.perf_counter() - began < 60
+
+
 def test_a_run_that_an_earlier_document_holds_in_part(spark):
     # The lines that windows select occur first alone; the first of the two documents with the run comes later.
     rng = random.Random(6)
@@ -187,7 +174,7 @@ def test_a_run_that_an_earlier_document_holds_in_part(spark):
     for start in (200, 300):
         rows += [(start + k, f"own {start + k}\n{a}\n{b}\nalso {start + k}") for k, (a, b) in enumerate(pairs)]
     rng.shuffle(rows)
-    got = {r["doc_id"]: list(r["removed_lines"]) for r in D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), find=D.every_run).collect()}
+    got = {r["doc_id"]: list(r["removed_lines"]) for r in D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: [1, 2] if i >= 300 else [] for i, _ in rows}
 
 
@@ -199,6 +186,6 @@ def test_every_long_line_goes(spark, least_lines):
     fresh = [(1000 * j + k + 1000, f"fresh {j} {k}\n{x}\nmore {j} {k}") for j in range(3) for k, x in enumerate(longs)]
     rows = line_rows(least_lines) + fresh
     rng.shuffle(rows)
-    got = {r["doc_id"]: list(r["removed_lines"]) for r in D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), find=D.every_run, least_lines=least_lines).collect()}
+    got = {r["doc_id"]: list(r["removed_lines"]) for r in D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), least_lines=least_lines).collect()}
     assert got == brute_runs(rows, least_lines, D.LEAST_CHARS)
     assert all(got[i] == ([1] if i >= 2000 else []) for i, _ in fresh)
