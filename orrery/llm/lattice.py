@@ -1,13 +1,15 @@
 """Embedding near-dedup by lattice hashing.
 
-Each table projects a vector to eight dimensions at random and decodes the result to the nearest point of the E8
-lattice; a vector also enters the cells of the lattice points that come next (probes). Two vectors that share a cell in
-any table are compared by cosine in double precision. A cell's members are compared in blocks, so no task holds an
-unbounded cell and no pair leaves a task: a block returns how many links each member has and one link that joins it to
-its group. A pair is counted in the first cell that both its vectors have.
-
-With the defaults a pair of cosine 0.9 shares a cell with probability 0.98, one of 0.95 with 0.9999 (measured by
-tests/llm/test_lattice.py). ``scale`` times larger makes cells smaller, which needs more tables or probes.
+Each table projects a vector at random to one or more blocks of eight dimensions and decodes every block to the nearest
+point of the E8 lattice; the points together are its cell. A vector also enters the cells of the neighbouring lattice
+points that come next (probes). Two vectors that share a cell in any table are compared by cosine in double precision. A
+cell's members are compared in blocks, so no task holds an unbounded cell and no pair leaves a task: a block returns how
+many links each member has and one link that joins it to its group. A pair is counted in the first cell that both its
+vectors have.
+
+Cells shrink with the corpus: ``ladder`` takes blocks, scale and tables from the number of vectors, so that the share of
+all pairs that is compared falls while a pair of cosine 0.9 still shares a cell with probability 0.98, one of 0.95 with
+0.999 (measured by tests/llm/test_lattice.py on every rung).
 """
 
 from __future__ import annotations
@@ -25,7 +27,10 @@ from .components import components
 from .exact_dedup import tree_merge
 
 THRESHOLD = 0.9
-TABLES, PROBES, SCALE = 6, 2, 0.7
+PROBES = 2
+#: (vectors fewer than, lattice blocks, scale, tables): each rung has cells so much smaller that the share of unlike pairs
+#: that meet falls (0.02, 0.005, 0.002, 0.001, 1e-4, 4e-5, 9e-6, 2e-6), and tables for the same recall.
+LADDER = ((1 << 14, 1, 0.70, 6), (1 << 16, 2, 0.42, 7), (1 << 18, 2, 0.46, 9), (1 << 20, 2, 0.50, 12), (1 << 23, 3, 0.42, 19), (1 << 26, 3, 0.46, 26), (1 << 29, 4, 0.40, 40), (None, 4, 0.44, 61))
 BLOCK = 512
 SEED = 8
 
@@ -43,6 +48,7 @@ def roots() -> np.ndarray:
 
 
 ROOTS = roots()
+_ROOTS32 = np.ascontiguousarray(ROOTS.T.astype(np.float32))
 
 
 def _nearest_d8(y: np.ndarray) -> np.ndarray:
@@ -62,19 +68,28 @@ def nearest_e8(y: np.ndarray) -> np.ndarray:
     return np.where(closer[:, None], whole, half)
 
 
-def cells(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, seed: int = SEED) -> np.ndarray:
+def ladder(rows: int) -> tuple[int, float, int]:
+    """Lattice blocks, scale and tables for so many vectors."""
+    return next(rung[1:] for rung in LADDER if rung[0] is None or rows < rung[0])
+
+
+def cells(x: np.ndarray, blocks: int, scale: float, tables: int, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
     """The cells of unit vectors: for each table the own one and the probes, as 64-bit keys."""
     random = np.random.default_rng([seed, x.shape[1]])
-    out = np.empty((len(x), tables, probes + 1), np.int64)
+    out, rows, wide = np.empty((len(x), tables, probes + 1), np.int64), np.arange(len(x)), 8 * blocks
     for t in range(tables):
-        turn, shift = random.normal(size=(x.shape[1], 8)), random.uniform(size=8)
-        odd = random.integers(1, 2**61, 9, dtype=np.int64) * 2 + 1
-        y = x @ turn * scale + shift
+        turn, shift = random.normal(size=(x.shape[1], wide)), random.uniform(size=wide)
+        odd = random.integers(1, 2**61, wide + 1, dtype=np.int64) * 2 + 1
+        y = (x @ turn * scale + shift).reshape(len(x) * blocks, 8)
         own = nearest_e8(y)
-        order = np.argsort(-((y - own) @ ROOTS.T), axis=1, kind="stable")[:, :probes]
-        points = np.concatenate([own[:, None, :], own[:, None, :] + ROOTS[order]], axis=1)
-        key = ((points * 2).astype(np.int64) * odd[:8]).sum(axis=2) 
-        out[:, t] = (key ^ (key >> 29)) * odd[8]
+        gain = ((y - own).astype(np.float32) @ _ROOTS32).reshape(len(x), blocks * len(ROOTS))
+        step = np.concatenate([(ROOTS * 2).astype(np.int64) @ odd[8 * k : 8 * k + 8] for k in range(blocks)])
+        out[:, t, 0] = (own * 2).astype(np.int64).reshape(len(x), wide) @ odd[:wide]
+        for k in range(1, probes + 1):
+            best = gain.argmax(axis=1)
+            out[:, t, k] = out[:, t, 0] + step[best]
+            gain[rows, best] = -np.inf
+        out[:, t] = (out[:, t] ^ (out[:, t] >> 29)) * odd[wide]
     return out
 
 
@@ -84,14 +99,17 @@ def _unit(raw: list[bytes], kind: str) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def near_vectors(
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, probes: int = PROBES, block: int = BLOCK, seed: int = SEED, blocks: int | None = None, scale: float | None = None, tables: int | None = None
+) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
     n_links is how many other rows have a cosine of ``threshold`` or more and share a cell, component_id the smallest id
     reachable by links, kept whether that is the own id. Equal vectors are one class, whose rows all link. Vectors that are
     null, empty, zero or hold a null or non-finite component link with nothing, as do vectors of another length, and rows
-    without an id, whose component is null. Rows that repeat an id count as rows. Other columns aren't looked at. An empty
-    table gives no rows.
+    without an id, whose component is null. Rows that repeat an id count as rows, each with its own vector. Other columns
+    aren't looked at. An empty table gives no rows. ``blocks``, ``scale`` and ``tables`` come from the number of classes
+    (see ``ladder``); a lower threshold needs more tables.
     """
     double = dict(vectors.dtypes)[vector_col] != "array<float>"
     kind = "<f8" if double else "<f4"
@@ -110,22 +128,21 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             keys = [None] * len(raw)
             for size in {len(x) for x in raw}:
                 at = [k for k, x in enumerate(raw) if len(x) == size]
-                for k, own in zip(at, cells(_unit([raw[k] for k in at], kind), tables, probes, scale, seed)):
+                for k, own in zip(at, cells(_unit([raw[k] for k in at], kind), blocks, scale, tables, probes, seed)):
                     keys[k] = own.ravel()
             yield batch.append_column("_cells", pa.array(keys, pa.list_(pa.int64())))
 
-    def block_links(x: np.ndarray, ids: np.ndarray, weight: np.ndarray, part: np.ndarray, keys: np.ndarray, cell: int, apart: bool) -> tuple[np.ndarray, ...] | None:
-        """(ids, counts, roots) of the members of one block that have links."""
+    def block_links(x: np.ndarray, weight: np.ndarray, part: np.ndarray, keys: np.ndarray, cell: int, apart: bool) -> tuple[np.ndarray, ...] | None:
+        """(place, count, place of the root) of the members of one block that have links; members come in the order of their nodes."""
         linked = x @ x.T >= threshold
         if apart:  # members of one part are compared elsewhere
             linked &= part[:, None] != part[None, :]
         np.fill_diagonal(linked, False)
-        linked &= ids[:, None] != ids[None, :]
         if not linked.any():
             return None
-        root, count = ids.copy(), np.zeros(len(ids), np.int64)
+        root, count = np.arange(len(x)), np.zeros(len(x), np.int64)
         while True:
-            low = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(axis=1))
+            low = np.minimum(root, np.where(linked, root[None, :], len(x)).min(axis=1))
             if (low == root).all():
                 break
             root = low
@@ -139,15 +156,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             done |= some
         np.add.at(count, a[first], weight[b[first]])
         np.add.at(count, b[first], weight[a[first]])
-        some = linked.any(axis=1)
-        return ids[some], count[some], root[some]
+        some = np.flatnonzero(linked.any(axis=1))
+        return some, count[some], root[some]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by block; the last block of a batch waits for the next batch."""
 
         def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             block_of = np.stack([np.asarray(rows.column(k), dtype=np.int64) for k in ("_cell", "_one", "_two")])
-            ids, weight, part = (np.asarray(rows.column(k)) for k in ("_id", "_weight", "_part"))
+            ids, tags, weight, part = (np.asarray(rows.column(k)) for k in ("_id", "_tag", "_weight", "_part"))
             raw = rows.column("_vector").to_pylist()
             keys = np.asarray(rows.column("_cells").combine_chunks().flatten()).reshape(len(ids), tables, probes + 1)
             size = np.array([len(x) for x in raw])
@@ -161,10 +178,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 cell, one, two = block_of[:, a].tolist()
                 for n in set(size[a:b].tolist()):
                     own = a + np.flatnonzero(size[a:b] == n)
-                    if len(own) > 1 and (got := block_links(x[n][at[own]], ids[own], weight[own], part[own], keys[own], cell, one != two)):
-                        found.append(got)
+                    if len(own) > 1 and (got := block_links(x[n][at[own]], weight[own], part[own], keys[own], cell, one != two)):
+                        node, root = own[got[0]], own[got[2]]
+                        found.append((ids[node], tags[node], got[1], ids[root], tags[root]))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["_id", "_count", "_root"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["_id", "_tag", "_count", "_root_id", "_root_tag"])
 
         held = None
         for batch in batches:
@@ -185,22 +203,30 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = bounded(vectors).select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v"))
     packed = cut(rows.mapInArrow(tidy(pack), "_id long, _vector binary"))
     member = cut(tree_merge(packed.where("_id IS NOT NULL AND _vector IS NOT NULL"), ["_vector"], keep="min"))
-    classes = cut(member.where("_id = _keep").select("_id", F.col("_group").alias("_weight"), "_vector").distinct().mapInArrow(tidy(hashed), "_id long, _weight long, _vector binary, _cells array<long>"))
-    postings = classes.select("_id", F.explode(F.array_distinct("_cells")).alias("_cell"))
+    # A class is named by its smallest id and a hash of its vector: rows that repeat an id may have several vectors.
+    chosen = member.where("_id = _keep").select("_id", F.xxhash64("_vector").alias("_tag"), F.col("_group").alias("_weight"), "_vector").distinct()
+    if blocks is None or scale is None or tables is None:
+        rung = ladder(chosen.count())
+        blocks, scale, tables = (own if given is None else given for given, own in zip((blocks, scale, tables), rung))
+    node = ["_id", "_tag"]
+    classes = cut(chosen.mapInArrow(tidy(hashed), "_id long, _tag long, _weight long, _vector binary, _cells array<long>"))
+    postings = classes.select(*node, F.explode(F.array_distinct("_cells")).alias("_cell"))
     lengths = postings.groupBy("_cell").agg(F.count(F.lit(1)).alias("_length")).where("_length > 1")
     parts = F.ceil(F.col("_length") / block).cast("int")
     dealt = (
         postings.join(lengths, "_cell")
-        .select("_cell", "_id", parts.alias("_parts"), F.pmod(F.xxhash64("_id", "_cell"), parts).cast("int").alias("_part"))
-        .select("_cell", "_id", "_part", F.explode(F.expr("sequence(0, _parts - 1)")).alias("_other"), "_parts")
-        .select("_cell", "_id", "_part", F.least("_part", "_other").alias("_one"), F.greatest("_part", "_other").alias("_two"))
+        .select("_cell", *node, parts.alias("_parts"), F.pmod(F.xxhash64(*node, "_cell"), parts).cast("int").alias("_part"))
+        .select("_cell", *node, "_part", F.explode(F.expr("sequence(0, _parts - 1)")).alias("_other"), "_parts")
+        .select("_cell", *node, "_part", F.least("_part", "_other").alias("_one"), F.greatest("_part", "_other").alias("_two"))
     )
-    blocks = dealt.join(classes, "_id").repartition("_cell", "_one", "_two").sortWithinPartitions("_cell", "_one", "_two", "_id")
-    found = cut(blocks.mapInArrow(tidy(compare), "_id long, _count long, _root long").groupBy("_id", "_root").agg(F.sum("_count").alias("_count")))
-    links = found.groupBy("_id").agg(F.sum("_count").alias("_links")).withColumnRenamed("_id", "_keep")
-    near = components(found, "_id", "_root").withColumnRenamed("node", "_keep")
-    of_class = links.join(near, "_keep", "full").select("_keep", F.coalesce("_links", F.lit(0)).alias("_links"), "component")
-    good = member.join(of_class, "_keep", "left").select("_id", (F.coalesce("_links", F.lit(0)) + F.col("_group") - 1).alias("_links"), F.coalesce("component", "_keep").alias("_of"))
+    dealt = dealt.join(classes, node).repartition("_cell", "_one", "_two").sortWithinPartitions("_cell", "_one", "_two", *node)
+    found = dealt.mapInArrow(tidy(compare), "_id long, _tag long, _count long, _root_id long, _root_tag long")
+    found = cut(found.groupBy(F.struct("_id", "_tag").alias("_node"), F.struct(F.col("_root_id").alias("_id"), F.col("_root_tag").alias("_tag")).alias("_root")).agg(F.sum("_count").alias("_count")))
+    links = found.groupBy("_node").agg(F.sum("_count").alias("_links"))
+    near = components(found, "_node", "_root").select(F.col("node").alias("_node"), F.col("component._id").alias("_least"))
+    of_class = links.join(near, "_node", "full").select("_node", F.coalesce("_links", F.lit(0)).alias("_links"), "_least")
+    named = member.withColumn("_node", F.struct(F.col("_keep").alias("_id"), F.xxhash64("_vector").alias("_tag")))
+    good = named.join(of_class, "_node", "left").select("_id", (F.coalesce("_links", F.lit(0)) + F.col("_group") - 1).alias("_links"), F.coalesce("_least", "_keep").alias("_of"))
     rest = packed.where("_id IS NULL OR _vector IS NULL").select("_id", F.lit(0).cast("long").alias("_links"), F.col("_id").alias("_of"))
     return good.unionByName(rest).select(F.col("_id").alias(id_col), F.col("_links").alias("n_links"), F.col("_of").alias("component_id"), F.col("_id").eqNullSafe(F.col("_of")).alias("kept"))
 

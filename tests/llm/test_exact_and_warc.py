@@ -46,6 +46,16 @@ def test_equal_digests_with_unequal_checks_stay_apart(spark):
     assert got == {1: (3, 2), 2: (2, 1), 3: (3, 2)}
 
 
+def test_every_level_merges_in_sorted_order(spark):
+    entries = spark.range(50).selectExpr("id AS _id", "sha2(string(id % 7), 256) AS _sha", "1L AS _size", "2L AS _check")
+    plan = E.tree_merge(entries, ["_sha", "_size", "_check"], fan_in=2, rows_per_run=10)._jdf.queryExecution().executedPlan().toString()
+    # One merge for the leaves and one for each of three rounds, each over sorted rows; what hashes lists digests only.
+    lines = plan.splitlines()
+    assert all("functions=[]" in x for x in lines if "HashAggregate" in x)
+    assert any("SortAggregate(key=[_run#" in x and "_slice#" not in x.split("functions")[0] for x in lines)
+    assert len([x for x in lines if "Sort [_run#" in x and "_slice#" in x]) == len([x for x in lines if "Exchange hashpartitioning(_run#" in x and "_slice#" in x]) == 3
+
+
 def test_records_in_any_pieces():
     body = b"<html>\r\n\r\n" + bytes(range(256)) * 50
     data = A.record(5, "http://x/é y", body) + A.record(6, None, body, refers_to=5) + A.record(7, "u", b"")
