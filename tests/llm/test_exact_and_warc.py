@@ -47,7 +47,7 @@ def test_equal_digests_with_unequal_checks_stay_apart(spark):
 
 
 def test_every_level_merges_in_sorted_order(spark):
-    entries = spark.range(50).selectExpr("id AS _id", "sha2(string(id % 7), 256) AS _sha", "1L AS _size", "2L AS _check")
+    entries = spark.range(50).selectExpr("id AS _id", "sha2(string(id % 7), 256) AS _sha", "id % 7 + 1 AS _size", "id % 7 AS _check")
     plan = E.tree_merge(entries, ["_sha", "_size", "_check"], fan_in=2, rows_per_run=10)._jdf.queryExecution().executedPlan().toString()
     # One merge for the leaves and one for each of three rounds, each over sorted rows; what hashes lists digests only.
     lines = plan.splitlines()
