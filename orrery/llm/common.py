@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import functools
 import gc
+import re
+import shutil
 import tempfile
 
 import pyarrow as pa
@@ -33,11 +36,30 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="orrery-checkpoint-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
     if not context.getCheckpointDir():
         context.setCheckpointDir(at)
     return at
 
 
+def _path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI that tasks understand, too: without a scheme it's on the cluster's default file system, as for Spark."""
+    path, store = _path(spark, folder)
+    whole = store.makeQualified(path).toString()
+    return re.sub("^s3[an]:", "s3:", re.sub("^file:/(?!//)", "file:///", whole))
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes the folder and all that is in it."""
+    path, store = _path(spark, folder)
+    store.delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows read from a reliable checkpoint, so that a lost executor costs no earlier stage."""
     shared_dir(df.sparkSession)

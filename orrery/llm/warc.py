@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, shared_dir, table, tidy
+from .common import bounded, cut, qualified, shared_dir, table, tidy
 from .exact_dedup import tree_merge
 
 LEAST_REVISIT_BYTES = 1000
@@ -29,6 +29,8 @@ ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 1 << 18
 BATCH_BYTES = 4 << 20
 LEVEL = 6
+#: The longest header of a record or of its HTTP message.
+HEADER_BYTES = 1 << 20
 # Fixed values of the format.
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -69,15 +71,17 @@ def members(pieces: Iterator[bytes]) -> Iterator[Iterator[bytes]]:
 
     def one() -> Iterator[bytes]:
         nonlocal rest
-        unpacker = zlib.decompressobj(31)
+        unpacker, data, rest = zlib.decompressobj(31), rest, b""
         while not unpacker.eof:
-            data, rest = rest or next(pieces, b""), b""
-            if not data:
-                raise WarcError("the archive ends within a record")
+            data = data or next(pieces, b"")
             try:
-                yield unpacker.decompress(data)
+                out = unpacker.decompress(data, READ_BYTES)  # however small the piece, no more than this comes of it at once
             except zlib.error as e:
                 raise WarcError(f"bad gzip member: {e}") from e
+            if not out and not data:
+                raise WarcError("the archive ends within a record")
+            data = unpacker.unconsumed_tail
+            yield out
         rest = unpacker.unused_data
 
     while rest or (rest := next(pieces, b"")):
@@ -90,6 +94,8 @@ def _until(pieces: Iterator[bytes], mark: bytes, what: str) -> tuple[bytes, byte
         held += piece
         if (at := held.find(mark)) >= 0:
             return held[:at], held[at + len(mark) :]
+        if len(held) > HEADER_BYTES:
+            raise WarcError(f"{what} is too long")
     raise WarcError(f"{what} has no end")
 
 
@@ -109,7 +115,7 @@ def read_record(pieces: Iterator[bytes], with_payload: bool = True) -> dict:
     except (KeyError, ValueError):
         raise WarcError("a record without Content-Length") from None
     block, payload, kept, http, body = hashlib.sha1(), hashlib.sha1(), [], b"", 0
-    in_payload = False
+    in_payload = not fields.get("content-type", "application/http").startswith("application/http")  # else the block is the payload
     tail = b""
     while True:
         data, tail = rest[:left], rest[left:]
@@ -119,6 +125,8 @@ def read_record(pieces: Iterator[bytes], with_payload: bool = True) -> dict:
             http += data
             if (at := http.find(END)) >= 0:
                 in_payload, data, http = True, http[at + len(END) :], http[:at]
+            elif len(http) > HEADER_BYTES:
+                raise WarcError("an HTTP header is too long")
         if in_payload and data:
             payload.update(data)
             body += len(data)
@@ -129,7 +137,11 @@ def read_record(pieces: Iterator[bytes], with_payload: bool = True) -> dict:
         rest = next(pieces, None)
         if rest is None:
             raise WarcError("a record is shorter than its Content-Length")
-    if tail + b"".join(pieces) != END:
+    for piece in pieces:
+        tail += piece
+        if len(tail) > len(END):
+            break
+    if tail != END:
         raise WarcError("a record is longer than its Content-Length")
     kind = fields.get("warc-type", "")
     stated = fields.get("warc-payload-digest", "")
@@ -156,30 +168,22 @@ def _stream(path: str) -> Iterator[bytes]:
             yield piece
 
 
-def _payload_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data = [(x.as_py() or "").encode("utf-8", "replace") for x in batch.column(2)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(data, pa.binary()), pa.array([hashlib.sha1(x).digest() for x in data], pa.binary()), pa.array(map(len, data), pa.int64())], ["_id", "_uri", "_payload", "_sha", "_size"]
-        )
-
-
 def write_archives(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", body_col: str = "html", folder: str | None = None, least: int = LEAST_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes a record for every row; one row per archive: path, records, bytes.
 
     The payload is the body in UTF-8 (null: empty). Of equal payloads of ``least`` bytes or more the row with the largest
     id is the response and the others revisit it; rows that repeat that id are responses too, and so is a row with no id
     if its group has none. Null ids and URIs are left out of the record. Other columns aren't looked at. An empty table
-    writes nothing. Archives go to ``folder`` (by default a new one in the shared folder) and stay there.
+    writes nothing. Archives go to ``folder`` (by default a new one in the shared folder; without a scheme it is on the
+    cluster's default file system) and stay there, for the caller to remove.
     """
     spark = pages.sparkSession
-    folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    if "://" not in folder:
-        folder = ("" if folder.startswith("file:") else "file:") + folder
-    at = folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
-    rows = bounded(pages).select(F.col(id_col).cast("long").alias("_id"), F.col(uri_col).cast("string").alias("_uri"), F.col(body_col).cast("string").alias("_body"))
-    hashed = rows.mapInArrow(tidy(_payload_digests), "_id long, _uri string, _payload binary, _sha binary, _size long")
-    merged = tree_merge(hashed, ["_sha", "_size"], rows=pages.count())
+    at = qualified(spark, folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    payload = F.coalesce(F.col(body_col).cast("string"), F.lit("")).cast("binary")
+    rows = bounded(pages).select(F.col(id_col).cast("long").alias("_id"), F.col(uri_col).cast("string").alias("_uri"), payload.alias("_payload"))
+    # Equal payloads agree in two unrelated digests and their length. Spark makes both; the merge's runs hold no payloads.
+    hashed = rows.select("*", F.unhex(F.sha1("_payload")).alias("_sha"), F.unhex(F.sha2("_payload", 256)).alias("_check"), F.octet_length("_payload").cast("long").alias("_size"))
+    merged = tree_merge(hashed, ["_sha", "_check", "_size"], rows=pages.count())
     target = F.when((F.col("_size") >= least) & ~F.col("_id").eqNullSafe(F.col("_keep")), F.col("_keep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +220,8 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
 
     Every archive is read by one task from its start to its end; digests and lengths are verified, and an archive that
     breaks them raises WarcError. payload_digest is the payload's SHA-1 in lower-case hex; a revisit has those of the payload that it
-    stands for, and a null payload.
+    stands for, and a null payload. Records that repeat an id are rows of their own; an id of another form is null. Of an
+    archive no more than a record's payload and a piece of the stream is held; no archives give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,6 +244,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: page_id, payload_bytes, payload_digest, record_type, refers_to, as the archives have them; a null html is an empty payload."""
     return read_archives(write_archives(table(spark, sf_dir, "pages")), with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -6,6 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from orrery.llm import common as C
 from orrery.llm import exact_dedup as E
 from orrery.llm import warc as A
 
@@ -79,6 +80,22 @@ def test_broken_archives_are_refused():
             read(raw)
 
 
+def test_small_pieces_that_inflate_to_much_are_taken_bit_by_bit():
+    body = bytes(50 << 20)
+    data = A.record(5, "u", body)
+    assert len(data) < A.READ_BYTES
+    sizes = [len(x) for m in A.members(iter([data])) for x in m]
+    assert max(sizes) <= A.READ_BYTES and sum(sizes) > len(body)
+    assert A.read_record(next(A.members(iter([data]))), with_payload=False)["payload_sha1"] == hashlib.sha1(body).hexdigest()
+    for raw in (b"WARC/1.1\r\n" + b"x" * (3 << 20), b"WARC/1.1\r\nContent-Length: 3000000\r\n\r\n" + b"x" * 3_000_000 + A.END):
+        with pytest.raises(A.WarcError):
+            A.read_record(next(A.members(iter([zlib_member(raw)]))))
+
+
+def test_folders_without_a_scheme_are_where_spark_finds_them(spark):
+    assert C.qualified(spark, "/some/where") == "file:///some/where" == C.qualified(spark, "file:/some/where")
+
+
 def zlib_member(data):
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress(data) + packer.flush()
