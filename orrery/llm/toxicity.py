@@ -277,8 +277,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             text = batch.column(batch.schema.get_field_index("_text"))
             sets = [sorted(set(x) - {""}) for x in tokens(text).to_pylist()]
             held, share = [], []
-            for x in text.to_pylist():
-                own = sorted((" ".join(sorted(a)) + "|" + " ".join(sorted(b)), n) for (a, b), n in swaps(x, swapped).items())
+            for x, of in zip(text.to_pylist(), sets):
+                found = swaps(x, swapped) if not swapped.keys().isdisjoint(of) else {}
+                own = sorted((" ".join(sorted(a)) + "|" + " ".join(sorted(b)), n) for (a, b), n in found.items())
                 held.append([k for k, _ in own])
                 share.append([n / sum(m for _, m in own) for _, n in own])
             sketch = [" ".join(sorted(xxhash.xxh3_64_hexdigest(w) for w in x)[:SKETCH]) for x in sets]
