@@ -7,7 +7,6 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
@@ -119,36 +118,51 @@ def normalised(steps: DataFrame, seeds: DataFrame | None = None, ranges: DataFra
     return out.join(total, "source").select(*steps.columns, (F.col("_weight") / F.col("_total")).alias("probability"))
 
 
-def page_rank(probabilities: DataFrame, seeds: DataFrame, restart: float = V.RESTART, rounds: int = V.MOST_ROUNDS, tolerance: float = V.TOLERANCE, every: int = 8, fixed: bool = False) -> DataFrame:
-    """node and mass of personalised PageRank: a surfer restarts at the seeds (column path) and from nodes without a way out.
+#: Where the walk stands before it goes on from one of its seeds; no path and no resource is called so.
+_AT_SEEDS = "@seeds"
 
-    probabilities: source, target, probability. The mass stays 1. Every round is a join and an aggregate that combines before
-    the shuffle; after ``every`` rounds the state is cut by a checkpoint and the change measured. With ``fixed``
-    all rounds run as one plan over the steps.
+
+def page_rank(probabilities: DataFrame, seeds: DataFrame, restart: float = V.RESTART, rounds: int = V.MOST_ROUNDS, tolerance: float = V.TOLERANCE, every: int = 1, fixed: bool = False) -> DataFrame:
+    """node, mass, rounds and residual of personalised PageRank: a surfer restarts at the seeds (column path) and from nodes without a way out.
+
+    probabilities: source, target, probability. The mass stays 1. All that restarts waits at one node, whose steps are
+    those of the seeds by their shares, so that nodes without a way out need one row each, whatever the number of seeds.
+    Every round is a join and an aggregate that combines before the shuffle; after ``every`` rounds the state is cut by a
+    checkpoint and the last round's change measured, which ends the walk once it is within the tolerance. With ``fixed`` all rounds run as
+    one plan over the steps, and no residual is known.
     """
-    start = seeds.select(F.col("path").alias("node")).distinct()
-    start = start.crossJoin(F.broadcast(start.agg(F.count(F.lit(1)).alias("_n")))).select("node", (1.0 / F.col("_n")).alias("_share"))  # one row
+    start = cut(seeds.select(F.col("path").alias("node")).distinct())
+    start = cut(start.withColumn("_share", F.lit(1.0 / max(1, start.count()))))
     steps = probabilities.groupBy("source", "target").agg(F.sum("probability").alias("probability"))
-    # From a node without a way out the surfer goes to the seeds: seeds are few and given by hand.
-    ends = steps.select(F.col("target").alias("source")).unionByName(start.select(F.col("node").alias("source"))).distinct().join(steps.select("source").distinct(), "source", "left_anti")
-    back = ends.crossJoin(F.broadcast(start)).select("source", F.col("node").alias("target"), F.col("_share").alias("probability"))
-    steps = steps.unionByName(back)
-    restarts = start.select("node", (F.col("_share") * restart).alias("mass"))
-    steps = cut(steps)  # every round reads them
-    state, k = start.select("node", F.col("_share").alias("mass")), 0
+    at_seeds, named = F.lit(_AT_SEEDS), start.select(F.col("node").alias("source"), "_share")
+    out = steps.select("source").distinct()
+    ends = steps.select(F.col("target").alias("source")).distinct().join(out, "source", "left_anti").select("source", at_seeds.alias("target"), F.lit(1.0).alias("probability"))
+    first = steps.join(named, "source").select("target", (F.col("_share") * F.col("probability")).alias("probability"))
+    first = first.unionByName(named.join(out, "source", "left_anti").select(at_seeds.alias("target"), F.col("_share").alias("probability")))
+    first = first.groupBy("target").agg(F.sum("probability").alias("probability")).select(at_seeds.alias("source"), "target", "probability")
+    steps = cut(steps.unionByName(ends).unionByName(first))  # every round reads them
+    again = start.select(at_seeds.alias("node"), F.lit(restart).alias("mass")).distinct()
+
+    def spread(state: DataFrame) -> DataFrame:
+        """What waits at the seeds' node, at the seeds."""
+        waiting = state.where(F.col("node") == at_seeds).agg(F.coalesce(F.sum("mass"), F.lit(0.0)).alias("_waits"))  # one row
+        own = start.crossJoin(waiting).select("node", (F.col("_share") * F.col("_waits")).alias("mass"))
+        return state.where(F.col("node") != at_seeds).unionByName(own).groupBy("node").agg(F.sum("mass").alias("mass"))
+
+    state, k, change = start.select(at_seeds.alias("node"), F.lit(1.0).alias("mass")).distinct(), 0, None
     while k < rounds:
         before = state
         for _ in range(min(every, rounds - k)):
             before, k = state, k + 1
             moved = state.join(steps, state["node"] == steps["source"]).select(F.col("target").alias("node"), (F.col("mass") * F.col("probability") * (1 - restart)).alias("mass"))
-            state = moved.unionByName(restarts).groupBy("node").agg(F.sum("mass").alias("mass"))
+            state = moved.unionByName(again).groupBy("node").agg(F.sum("mass").alias("mass"))
         if fixed:
             continue
         state = cut(state)
-        change = state.withColumnRenamed("mass", "_new").join(before, "node", "full").agg(F.sum(F.abs(F.coalesce("_new", F.lit(0.0)) - F.coalesce("mass", F.lit(0.0))))).first()[0]
-        if (change or 0.0) <= tolerance:
+        change = spread(state).withColumnRenamed("mass", "_new").join(spread(before), "node", "full").agg(F.sum(F.abs(F.coalesce("_new", F.lit(0.0)) - F.coalesce("mass", F.lit(0.0))))).first()[0] or 0.0
+        if change <= tolerance:
             break
-    return state
+    return spread(state).select("node", "mass", F.lit(k).alias("rounds"), F.lit(change).cast("double").alias("residual"))
 
 
 def page_rank_kernel(probabilities: DataFrame, seeds: DataFrame, restart: float = V.RESTART, rounds: int = V.MOST_ROUNDS, tolerance: float = V.TOLERANCE) -> DataFrame:
@@ -203,32 +217,36 @@ def max_product(steps: DataFrame, seeds: DataFrame, max_hops: int = 4, decay: fl
 
 
 def hop_distances(links: DataFrame, seeds: DataFrame, max_hops: int = 5) -> DataFrame:
-    """node and hops: the fewest steps (source, target) from a seed (column path), up to ``max_hops``."""
-    reached = seeds.select(F.col("path").alias("node"), F.lit(0).alias("hops")).distinct()
-    ways = links.select("source", "target", F.lit(1).alias("_w")).distinct()
-    stay = ways.select("source").unionByName(ways.select(F.col("target").alias("source"))).unionByName(seeds.select(F.col("path").alias("source"))).distinct()
-    ways = ways.unionByName(stay.select("source", F.col("source").alias("target"), F.lit(0).alias("_w")))
+    """node and hops: the fewest steps (source, target) from a seed (column path), up to ``max_hops``.
+
+    Only the nodes that were new in a round go on, and the rounds end once there are none.
+    """
+    ways = links.select("source", "target").distinct()
+    layer = cut(seeds.select(F.col("path").alias("node"), F.lit(0).alias("hops")).distinct())
+    reached = layer
     for hop in range(1, max_hops + 1):
-        went = reached.join(ways, F.col("node") == F.col("source")).select(F.col("target").alias("node"), (F.col("hops") + F.col("_w")).alias("hops"))
-        reached = went.groupBy("node").agg(F.min("hops").alias("hops"))
-        if hop % 8 == 0 and hop < max_hops:
-            reached = cut(reached)
+        went = layer.join(ways, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
+        layer = cut(went.join(reached, "node", "left_anti").select("node", F.lit(hop).alias("hops")))
+        if layer.isEmpty():
+            break
+        reached = reached.unionByName(layer)
     return reached
 
 
-def strongest_paths(probabilities: DataFrame, seeds: DataFrame, targets: DataFrame, max_hops: int = 5, beam: int = 64) -> DataFrame:
+def strongest_paths(probabilities: DataFrame, seeds: DataFrame, targets: DataFrame, max_hops: int = 5) -> DataFrame:
     """node, cost and path (nodes from the seed on) of the likeliest simple way to each target (column path) in up to ``max_hops`` steps.
 
-    Each round extends the best ``beam`` simple ways to every node by one step.
+    Each round extends the likeliest way with that many steps to every node. That loses none: if the likeliest way to a target
+    led through a node by another way than the likeliest with as many steps, the latter would make a likelier one, without the
+    loop that it might close.
     """
     steps = probabilities.where("probability > 0").groupBy("source", "target").agg(F.max("probability").alias("probability"))
     ways = seeds.select(F.col("path").alias("node"), F.lit(0.0).alias("cost"), F.array("path").alias("path")).distinct()
     layers = []
-    window = W.partitionBy("node").orderBy("cost", "path")
     for _ in range(max_hops):
         went = ways.join(steps, ways["node"] == steps["source"]).where(~F.array_contains("path", F.col("target")))
-        ways = went.select(F.col("target").alias("node"), (F.col("cost") - F.log("probability")).alias("cost"), F.concat("path", F.array("target")).alias("path"))
-        ways = ways.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= beam).drop("_n")
+        went = went.select(F.col("target").alias("node"), (F.col("cost") - F.log("probability")).alias("cost"), F.concat("path", F.array("target")).alias("path"))
+        ways = cut(went.groupBy("node").agg(F.min(F.struct("cost", "path")).alias("_best")).select("node", "_best.cost", "_best.path"))
         layers.append(ways)
     found = reduce(DataFrame.unionByName, layers).join(targets.select(F.col("path").alias("node")).distinct(), "node", "left_semi")
     return found.groupBy("node").agg(F.min(F.struct("cost", F.size("path").alias("_size"), "path")).alias("_best")).select("node", "_best.cost", "_best.path")

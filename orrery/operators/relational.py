@@ -111,16 +111,37 @@ def rename_candidates(removed: DataFrame, added: DataFrame, shape: list[str], pa
     return pairs.withColumn("change", F.when(same_path & ~same, "rename_candidate").when(~same_path & same, "move_candidate").otherwise("identity_replacement_candidate"))
 
 
+def numbered(rows: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name``, the place of a row among those of the same key, from 0."""
+    return rows.withColumn(name, F.row_number().over(W.partitionBy(*key).orderBy(*order)) - 1)
+
+
 def publish_chunks(existing: DataFrame, desired: DataFrame, key: list[str], id_col: str) -> DataFrame:
     """The multiset difference of two sets of chunks: key columns, ``id_col`` (null for new ones) and action: keep, insert or delete.
 
     Equal chunks are matched one to one, the largest id first; what the old side has more goes, what the new side has more comes.
     """
-    old = existing.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(F.desc(id_col)))).select(*key, "_n", id_col, F.lit(True).alias("_old"))
-    new = desired.select(*key).withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*key))).withColumn("_new", F.lit(True))
-    both = old.join(new, [*key, "_n"], "full_outer")
-    action = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").otherwise("keep")
-    return both.select(*key, id_col, action.alias("action"))
+    had = existing.groupBy(*key).agg(F.count(F.lit(1)).alias("_old"))
+    wanted = desired.groupBy(*key).agg(F.count(F.lit(1)).alias("_new"))
+    surplus = F.greatest(F.lit(0), F.col("_old") - F.coalesce("_new", F.lit(0)))
+    counts = had.join(wanted, key, "full_outer")
+    come = counts.select(*key, F.explode(F.expr("CASE WHEN _new > coalesce(_old, 0) THEN sequence(1, _new - coalesce(_old, 0)) ELSE array() END"))).select(*key, F.lit(None).cast(existing.schema[id_col].dataType).alias(id_col), F.lit("insert").alias("action"))
+    there = existing.select(*key, id_col).join(counts.where("_old IS NOT NULL").select(*key, "_old", "_new", surplus.alias("_surplus")), key, "left")
+    there = there.withColumns({"_old": F.coalesce("_old", F.lit(1)), "_surplus": F.coalesce("_surplus", F.lit(1))})  # keys with nulls equal none
+    part = (F.col("_surplus") > 0) & (F.col("_surplus") < F.col("_old"))
+    whole = there.where(~part).select(*key, id_col, F.when(F.col("_surplus") > 0, "delete").otherwise("keep").alias("action"))
+    # Only where some of equal chunks go does it matter which: the smallest ids.
+    place = F.row_number().over(W.partitionBy(*key).orderBy(F.col(id_col)))
+    some = there.where(part).withColumn("_n", place).select(*key, id_col, F.when(F.col("_n") <= F.col("_surplus"), "delete").otherwise("keep").alias("action"))
+    return whole.unionByName(some).unionByName(come)
+
+
+def symbols_at(symbols: DataFrame, ranges: DataFrame, path: str, start: str, end: str, active: str, order: list[str], most: int = 4) -> DataFrame:
+    """The first ``most`` symbols of each path that overlap a range of it: active ones first, then those with least of them in it. Ranges have columns ``path``, range_start, range_end."""
+    both = symbols.join(ranges, path).where((F.col(start) <= F.col("range_end")) & (F.col(end) >= F.col("range_start")))
+    overlap = F.least(end, "range_end") - F.greatest(start, "range_start")
+    window = W.partitionBy(path).orderBy(F.desc(active), overlap, *order)
+    return both.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= most)
 
 
 def missing_vectors(chunks: DataFrame, vectors: DataFrame, id_col: str, vector_id_col: str, of_model: Column | None = None) -> DataFrame:

@@ -79,13 +79,22 @@ def active_functions(symbols: DataFrame, authority: DataFrame, question: Questio
 
 
 def _rows(edges: DataFrame, frontier: DataFrame, direction: str) -> DataFrame:
-    """The frontier's edges with _at (the frontier's path), _ord, direction and _row, their order."""
+    """The frontier's edges with _at (the frontier's path), _way (how it was reached first), direction and _row, their order."""
     out = direction == "outgoing"
-    at = frontier.select(F.col("path").alias("_at"), "_ord")
+    at = frontier.select(F.col("path").alias("_at"), "_way")
     rows = edges.join(at, F.col("source_path" if out else "target_path") == F.col("_at"))
-    order = F.struct(F.lit("") if out else F.col("source_path"), F.col("line"), F.col("relation"), F.col("target_name") if out else F.lit(""), F.col("id"))
-    names = [f"_k{k}" for k in range(5)]
-    return rows.withColumn("direction", F.lit(direction)).withColumn("_row", order.cast("struct<" + ", ".join(f"{n}: {t}" for n, t in zip(names, ["string", "int", "string", "string", "bigint"])) + ">"))
+    order = _row("" if out else F.col("source_path"), F.col("line"), F.col("relation"), F.col("target_name") if out else "", F.col("id"))
+    return rows.withColumn("direction", F.lit(direction)).withColumn("_row", order)
+
+
+def _row(*values) -> Column:
+    """The order of a row among those of one path and side."""
+    kinds = ("string", "int", "string", "string", "bigint")
+    return F.struct(*((v if isinstance(v, Column) else F.lit(v)).cast(t).alias(f"_k{k}") for k, (v, t) in enumerate(zip(values, kinds))))
+
+
+def _step(rank: Column, side, row: Column) -> Column:
+    return F.struct(rank.cast("long").alias("rank"), (side if isinstance(side, Column) else F.lit(side)).cast("int").alias("side"), row.alias("row"))
 
 
 def expand(edges: DataFrame, authority: DataFrame, seeds: DataFrame, depth: int = 2, question: str = "", ranges: DataFrame | None = None, chunks: DataFrame | None = None, symbols: DataFrame | None = None) -> Expansion:
@@ -113,7 +122,8 @@ def expand(edges: DataFrame, authority: DataFrame, seeds: DataFrame, depth: int
     edges = edges.where(F.col("relation").isin(list(V.RELATION_WEIGHTS)))
     # _goes.. columns hold, for each edge, what the question makes of its target.
     named, called = (asked.names(F.col("target_name")), asked.calls(F.col("target_name"))) if asked else (F.lit(False), F.lit(False))
-    frontier = seeds.select("path", F.col("rank").cast("long").alias("_ord"))
+    # A place tells the level and, for each step on the way there, in what order it was taken.
+    frontier = seeds.select("path", F.array(_step(F.col("rank"), 0, _row("", 0, "", "", 0))).alias("_way"))
     scores = [seeds.select("path", (F.lit(100.0) - F.col("rank")).alias("score"))]
     reasons, facts, resources = [], [], []
     if asked:
@@ -135,7 +145,8 @@ def expand(edges: DataFrame, authority: DataFrame, seeds: DataFrame, depth: int
         callable_ = F.col("relation").isin(V.CALLABLE_RELATIONS)
         if asked and level == 0:
             rows = rows.where(~((F.col("direction") == "incoming") & F.coalesce(F.col("_of_at") == "schema_history", F.lit(False)) & callable_ & ~called))
-        place = F.struct(F.lit(level).alias("level"), F.col("_ord"), (F.col("direction") == "incoming").cast("int").alias("side"), F.col("_row"))
+        step = _step(F.lit(0), (F.col("direction") == "incoming").cast("int"), F.col("_row"))
+        place = F.struct(F.lit(level).alias("level"), F.concat("_way", F.array(step)).alias("way"))
         rows = rows.withColumn("_place", place)
         facts.append(rows.select(*_fact(F.col("direction"), F.lit(level + 1)), "_place"))
         public = F.col("relation").isin(V.RESOURCE_RELATIONS) & C.shareable(F.col("relation"), F.col("target_name"), F.col("resolution_confidence"))
@@ -153,7 +164,7 @@ def expand(edges: DataFrame, authority: DataFrame, seeds: DataFrame, depth: int
         scores.append(rows.select(F.col("_to").alias("path"), value.alias("score")))
         reasons.append(rows.select(F.col("_to").alias("path"), F.lit("graph_edge").alias("kind"), F.col("_at").alias("from"), "relation", "direction", F.lit(level + 1).alias("depth"), F.col("resolution_confidence").alias("resolution"), *_no("resource_family", "resource"), F.lit(None).cast("long").alias("consumer_count"), "_place"))
         went = rows.where("relation <> 'imports'").groupBy(F.col("_to").alias("path")).agg(F.min("_place").alias("_first"))
-        frontier = went.withColumn("_ord", F.row_number().over(W.orderBy("_first")).cast("long")).select("path", "_ord")
+        frontier = went.select("path", F.col("_first.way").alias("_way"))
     found = reduce(DataFrame.unionByName, resources).distinct()
     users = edges.where(F.col("relation").isin(V.RESOURCE_RELATIONS)).withColumn("family", C.resource_family(F.col("relation"))).join(found.withColumnRenamed("target", "target_name"), ["family", "target_name"])
     window = W.partitionBy("family", "target_name").orderBy("source_path", "line", "id")
@@ -161,7 +172,8 @@ def expand(edges: DataFrame, authority: DataFrame, seeds: DataFrame, depth: int
     users = users.join(users.groupBy("family", "target_name").agg(F.count(F.lit(1)).alias("_count")), ["family", "target_name"])
     users = with_path(with_path(users, "source_path", of, "authority", "_of_to"), "source_path", affinity, "affinity", "_affinity").where(F.col("_of_to").isin(V.AUTHORITIES))
     penalty = F.least(F.lit(30.0), 6.0 * F.greatest(F.lit(0.0), F.log2(F.col("_count") / 8.0)))
-    users = users.withColumn("_place", F.struct(F.lit(depth).alias("level"), F.lit(0).cast("long").alias("_ord"), F.lit(0).alias("side"), F.struct(F.concat("family", F.lit("\0"), "target_name").alias("_k0"), F.col("_n").alias("_k1"), F.lit("").alias("_k2"), F.lit("").alias("_k3"), F.col("id").alias("_k4")).alias("_row")))
+    row = _row(F.concat("family", F.lit("\0"), "target_name"), F.col("_n"), "", "", F.col("id"))
+    users = users.withColumn("_place", F.struct(F.lit(depth).alias("level"), F.array(_step(F.lit(0), 0, row)).alias("way")))
     scores.append(users.select(F.col("source_path").alias("path"), (88.0 + F.least(F.coalesce("_affinity", F.lit(0)) * 3.0, F.lit(15.0)) - 1.5 * penalty).alias("score")))
     reasons.append(users.select(F.col("source_path").alias("path"), F.lit("shared_resource").alias("kind"), *_no("from", "relation", "direction"), F.lit(None).cast("int").alias("depth"), *_no("resolution"), F.col("family").alias("resource_family"), F.col("target_name").alias("resource"), F.col("_count").alias("consumer_count"), "_place"))
     facts.append(users.select(*_fact(F.lit("shared_resource"), F.lit(1)), "_place"))

@@ -89,8 +89,7 @@ def capture(store: Store, project: str) -> Snapshot:
     names = [r[0] for r in files.select("path").orderBy("path").collect()]
     read = ingest.read_files(spark, root, names)
     state = files.join(read.select("path", F.sha2("content", 256).alias("content_digest")), "path", "left").withColumn("content_digest", F.coalesce("content_digest", F.sha2(F.lit("").cast("binary"), 256))).select(*TABLES["files"])
-    order = W.partitionBy("path", "kind", "qualified_name").orderBy("start_line", "end_line", "id")
-    symbols = store.table(project, "symbols").withColumn("occurrence", F.row_number().over(order) - 1).withColumn("active", F.col("active") == 1).withColumn("metadata", canonical(F.col("metadata")))
+    symbols = L.numbered(store.table(project, "symbols"), SYMBOL_KEY[:3], ["start_line", "end_line", "id"], "occurrence").withColumn("active", F.col("active") == 1).withColumn("metadata", canonical(F.col("metadata")))
     # Undecodable bytes become replacement characters.
     texts = read.select("path", X.lines(F.make_valid_utf8(F.col("content").cast("string"))).alias("_lines"))
     length = F.greatest(F.col("start_line"), F.col("end_line")) - F.col("start_line") + 1
@@ -189,7 +188,7 @@ def _propagate(base: Snapshot, changed: Snapshot, seeds: list[str], limit: int,
     if pairs:
         wanted = spark.createDataFrame(pairs, "source string, target string")
         order = W.partitionBy("source", "target").orderBy(F.desc("weight"), "relation", "status")
-        found = steps.join(F.broadcast(wanted), ["source", "target"]).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+        found = steps.join(wanted, ["source", "target"]).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
         best = {(r["source"], r["target"]): r.asDict() for r in found.collect()}
     both = base.edges.select(*EDGE_KEY).subtract(changed.edges.select(*EDGE_KEY)).limit(1).count() > 0
     return {

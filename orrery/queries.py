@@ -253,14 +253,21 @@ def coverage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Samples are sources: ranked by document length, gold the documents of quality 1."""
+    """Samples are sources: ranked by document length, gold the documents of quality 1.
+
+    The metrics need the first five of a source and the rank of its first gold document, which is one more than the
+    documents before it: counts that combine before the shuffle, as a source may hold a third of all rows.
+    """
     from pyspark.sql import Window as W
 
-    docs = _read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", "lang")
-    ranked = docs.withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).cast("long"))
+    docs = _read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
     good = _read(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    gold = docs.join(good.withColumn("_g", F.lit(True)), "doc_id", "left").select("source", F.when(F.col("_g"), F.col("doc_id")).alias("doc_id"))
-    return ranked, gold
+    gold = docs.join(good.withColumn("_g", F.lit(True)), "doc_id", "left")
+    place = F.struct((-F.col("n_chars")).alias("less"), "doc_id")
+    first = gold.where("_g").groupBy("source").agg(F.min(place).alias("_first"))
+    before = docs.join(first, "source").groupBy("source", "_first").agg((F.count_if(place < F.col("_first")) + 1).alias("rank")).select("source", F.col("_first.doc_id").alias("doc_id"), "rank")
+    top = docs.withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).cast("long")).where("rank <= 5")
+    return top.select("source", "doc_id", "rank").unionByName(before.where("rank > 5")), gold.select("source", F.when(F.col("_g"), F.col("doc_id")).alias("doc_id"))
 
 
 _METRICS_SQL = """
@@ -354,30 +361,15 @@ def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.overlapping(chunks, ranges, "doc_id", "start_line", "end_line")
 
 
-@_query(
-    """
-SELECT e.p_partkey, e.p_type, x.p_partkey AS existing_key, x.p_brand AS existing_brand FROM part e, LATERAL (
-  SELECT p_partkey, p_brand FROM part WHERE lower(p_type) = lower(e.p_type) AND p_brand <> e.p_brand ORDER BY p_brand, p_partkey LIMIT 12) x WHERE e.p_partkey < 20
-"""
-)
-def same_name_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _same_name(spark, sf_dir, "p_partkey < 20")
-
-
 @_query(
     """
 SELECT e.p_partkey, e.p_type, x.p_partkey AS existing_key, x.p_brand AS existing_brand FROM part e, LATERAL (
   SELECT p_partkey, p_brand FROM part WHERE lower(p_type) = lower(e.p_type) AND p_brand <> e.p_brand ORDER BY p_brand, p_partkey LIMIT 12) x
 """
 )
-def same_name_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For all parts; same_name_candidates keeps to its SQL, which asks for 20."""
-    return _same_name(spark, sf_dir)
-
-
-def _same_name(spark: SparkSession, sf_dir: str, changed: str = "true") -> DataFrame:
+def same_name_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _read(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
-    found = L.same_name(parts.where(changed), parts, "p_type", "p_brand", ["p_brand", "p_partkey"])
+    found = L.same_name(parts, parts, "p_type", "p_brand", ["p_brand", "p_partkey"])
     return found.select("p_partkey", "p_type", F.col("existing_p_partkey").alias("existing_key"), F.col("existing_p_brand").alias("existing_brand"))
 
 
@@ -514,7 +506,7 @@ def _rank_sql(rounds: int) -> str:
     out = [f"p AS (SELECT source, target, sum(probability) AS probability FROM n GROUP BY source, target), s0 AS (SELECT * FROM (VALUES ('s/1', 0.5::DOUBLE), ('p/2', 0.5::DOUBLE)) v(node, mass))"]
     for k in range(rounds):
         out.append(
-            f"""s{k + 1} AS (SELECT node, sum(mass) AS mass FROM (SELECT target AS node, mass * probability * 0.72 AS mass FROM s{k} JOIN p ON source = node
+            f"""s{k + 1} AS MATERIALIZED (SELECT node, sum(mass) AS mass FROM (SELECT target AS node, mass * probability * 0.72 AS mass FROM s{k} JOIN p ON source = node
             UNION ALL SELECT node, mass * (0.28 + 0.72 * (SELECT coalesce(sum(mass), 0) FROM s{k} WHERE node NOT IN (SELECT source FROM p))) FROM s0) GROUP BY node)"""
         )
     return f"WITH {_STEPS_SQL}, {', '.join(out)} SELECT node, round(mass, 6) AS mass FROM s{rounds}"
@@ -537,11 +529,12 @@ def _product_sql(rounds: int) -> str:
     return f"WITH {_EDGES_SQL}, {', '.join(out)} SELECT node, round(score, 6) AS score, hops FROM m{rounds}"
 
 
-@_query()
+@_query(_rank_sql(12))
 def page_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve rounds, cut after the sixth: as many as the SQL spells out."""
     seeds = spark.createDataFrame([("s/1",), ("p/2",)], "path string")
-    state = G.page_rank_kernel(G.normalised(G.transitions(_edges(spark, sf_dir), "typed")), seeds)
-    return state.select("node", F.round("mass", 9).alias("mass"), "rounds")
+    state = G.page_rank(G.normalised(G.transitions(_edges(spark, sf_dir), "typed")), seeds, rounds=12, tolerance=0.0, every=6)
+    return state.select("node", F.round("mass", 6).alias("mass"))
 
 
 @_query(_product_sql(3))
@@ -553,19 +546,6 @@ def union_maxprod(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.select("node", F.round("score", 6).alias("score"), "hops")
 
 
-@_query(
-    """
-WITH RECURSIVE l AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
-  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
-d AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-w AS (SELECT 'c0' AS node, 0 AS hops UNION SELECT b, hops + 1 FROM w JOIN d ON a = node WHERE hops < 4)
-SELECT node, min(hops) AS hops FROM w GROUP BY node
-"""
-)
-def hop_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _distances(spark, sf_dir, "c_custkey % 3 = 0")
-
-
 @_query(
     """
 WITH RECURSIVE l AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
@@ -575,16 +555,11 @@ w AS (SELECT 'c0' AS node, 0 AS hops UNION SELECT b, hops + 1 FROM w JOIN d ON a
 SELECT node, min(hops) AS hops FROM w GROUP BY node
 """
 )
-def hop_distances_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all customers; hop_distances keeps to its SQL, which reads a third of them."""
-    return _distances(spark, sf_dir)
-
-
-def _distances(spark: SparkSession, sf_dir: str, customers: str = "true") -> DataFrame:
-    def link(name: str, a: str, b: str, which: str = "true") -> DataFrame:
-        return _read(spark, sf_dir, name).where(which).selectExpr(f"{a} AS source", f"{b} AS target")
+def hop_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def link(name: str, a: str, b: str) -> DataFrame:
+        return _read(spark, sf_dir, name).selectExpr(f"{a} AS source", f"{b} AS target")
 
-    links = link("customer", "concat('c', c_custkey)", "concat('n', c_nationkey)", customers)
+    links = link("customer", "concat('c', c_custkey)", "concat('n', c_nationkey)")
     links = links.unionByName(link("supplier", "concat('s', s_suppkey)", "concat('n', s_nationkey)")).unionByName(link("nation", "concat('n', n_nationkey)", "concat('r', n_regionkey)"))
     both = links.unionByName(links.select(F.col("target").alias("source"), F.col("source").alias("target")))
     return G.hop_distances(both, spark.createDataFrame([("c0",)], "path string"), 4)

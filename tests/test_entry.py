@@ -64,4 +64,4 @@ def test_distances_reach_all_customers(spark):
     for hops in range(1, 5):
         want |= {b: hops for a in list(want) for b in near[a] if b not in want}
     assert any(int(n[1:]) % 3 for n in want if n[0] == "c")
-    assert {r["node"]: r["hops"] for r in queries.QUERIES["hop_distances_whole"](spark, DATA).collect()} == want
+    assert {r["node"]: r["hops"] for r in queries.QUERIES["hop_distances"](spark, DATA).collect()} == want
