@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ast
 import posixpath
+import sys
+from contextlib import contextmanager
 
 
 def module_name(path: str) -> str:
@@ -19,6 +21,21 @@ def absolute_name(path: str, module: str | None, level: int) -> str:
     return ".".join([*prefix, *(module or "").split(".")]).strip(".")
 
 
+#: How deeply a file's expressions and elements may be nested.
+DEEPEST = 200_000
+
+
+@contextmanager
+def deep():
+    """Lets Python functions call one another as deeply as a file is nested."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, DEEPEST))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
+
+
 class _Reader(ast.NodeVisitor):
     """Walks a tree twice: first for symbols, then, knowing them all, for edges."""
 
@@ -105,10 +122,16 @@ class _Reader(ast.NodeVisitor):
 def extract(path: str, text: str) -> tuple[list[dict], list[dict]] | None:
     """(symbols, edges), or None if the file can't be parsed. Edges to other modules carry the module's name for a later join."""
     try:
-        tree = ast.parse(text, filename=path)
-    except (SyntaxError, ValueError, RecursionError):
+        with deep():
+            tree = ast.parse(text, filename=path)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
     reader = _Reader(path)
+    with deep():
+        return _read(reader, tree, path, text)
+
+
+def _read(reader: _Reader, tree: ast.Module, path: str, text: str) -> tuple[list[dict], list[dict]] | None:
     reader.symbols.append({"kind": "module", "name": posixpath.splitext(posixpath.basename(path))[0], "qualified_name": path, "start_line": 1, "end_line": max(1, len(text.splitlines())), "signature": path, "metadata": "{}"})
     reader.visit(tree)
     reader.collecting = False

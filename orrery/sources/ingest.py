@@ -58,7 +58,7 @@ def decoded(content: Column) -> Column:
 
 
 def extract_rows(files: DataFrame) -> DataFrame:
-    """Every file's symbols and edges as rows of one shape; a Python file that can't be parsed gives a row ``error``."""
+    """Every file's symbols and edges as rows of one shape; a file that can't be parsed gives a row ``error``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -73,7 +73,12 @@ def extract_rows(files: DataFrame) -> DataFrame:
                         found = None
                     out.append(base | {"row": "module" if found else "error", "module": extract_python.module_name(path)})
                 elif path.endswith(extract_ts.SUFFIXES):
-                    found = extract_ts.extract(path, raw.decode("utf-8", "replace"))
+                    try:
+                        with extract_python.deep():
+                            found = extract_ts.extract(path, raw.decode("utf-8", "replace"))
+                    except RecursionError:  # a file too deep is an error of its own, not of the index
+                        found = None
+                        out.append(base | {"row": "error"})
                 elif path.endswith(".sql"):
                     found = extract_sql.extract(path, raw.decode("utf-8", "ignore"))
                 else:

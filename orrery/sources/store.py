@@ -6,6 +6,7 @@ one. Readers of an older generation keep what they read until the folder goes wi
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import shutil
@@ -19,6 +20,10 @@ from ..operators import relational as L
 from . import git, ingest
 from .registry import Registry
 
+#: Models read so many characters of a chunk; a longer one says where it ends.
+MOST_EMBEDDED = 16_000
+# Fixed value: what marks its end.
+TRUNCATED = "\n[TRUNCATED LONG GENERATED OR MINIFIED CONTENT]"
 CHUNK_KEY = ["path", "start_line", "end_line", "content"]
 
 
@@ -108,18 +113,28 @@ class Store:
 
     # Vectors
 
-    def vectors(self, project: str, model: str) -> DataFrame:
+    def _documents(self, project: str) -> DataFrame:
+        """chunk_id, text and content_hash (of the text) of every chunk, as models read it."""
+        content, most = F.col("content"), MOST_EMBEDDED
+        part = F.when(F.length(content) > most, F.concat(F.substring(content, 1, most), F.lit(TRUNCATED))).otherwise(content)
+        text = F.concat(F.lit(f"Project: {project}\nFile: "), "path", F.lit("\n"), part)
+        return self.table(project, "chunks").select("chunk_id", text.alias("text")).withColumn("content_hash", F.sha2("text", 256))
+
+    def _cached(self, project: str, model: str) -> DataFrame:
         path = self._folder(project) / "vectors" / model
         if not path.exists():
-            return self.spark.createDataFrame([], "chunk_id long, model string, dimension int, vector array<float>")
-        return self.spark.read.parquet(str(path))
+            return self.spark.createDataFrame([], "content_hash string, model string, dimension int, vector array<float>")
+        return self.spark.read.parquet(str(path)).dropDuplicates(["content_hash"])
+
+    def vectors(self, project: str, model: str) -> DataFrame:
+        """chunk_id, model, dimension, vector of the chunks whose text has a vector. Equal texts share one, wherever they move."""
+        return self._documents(project).drop("text").join(self._cached(project, model), "content_hash").select("chunk_id", "model", "dimension", "vector")
 
     def embed(self, project: str, model: str, encode, batch: int = 32) -> dict:
-        """Gives a vector to every chunk without one. ``encode`` makes a list of vectors of a list of texts, on the executors."""
+        """Gives a vector to every text without one. ``encode`` makes a list of vectors of a list of texts, on the executors."""
         from ..operators.ranking import unit
 
-        todo = L.missing_vectors(self.table(project, "chunks"), self.vectors(project, model), "chunk_id", "chunk_id")
-        document = F.concat(F.lit(f"{project} "), "path", F.lit("\n"), F.substring("content", 1, 16_000))
+        todo = self._documents(project).dropDuplicates(["content_hash"]).join(self._cached(project, model), "content_hash", "left_anti")
 
         def run(batches):
             import pandas as pd
@@ -128,12 +143,23 @@ class Store:
                 for at in range(0, len(frame), batch):
                     part = frame.iloc[at : at + batch]
                     made = encode(part["text"].tolist())
-                    yield pd.DataFrame({"chunk_id": part["chunk_id"], "vector": [[float(x) for x in v] for v in made]})
+                    yield pd.DataFrame({"content_hash": part["content_hash"], "vector": [[float(x) for x in v] for v in made]})
 
-        made = todo.select("chunk_id", document.alias("text")).mapInPandas(run, "chunk_id long, vector array<double>")
-        made.select("chunk_id", F.lit(model).alias("model"), F.size("vector").alias("dimension"), unit(F.col("vector")).cast("array<float>").alias("vector")).write.mode("append").parquet(str(self._folder(project) / "vectors" / model))
+        made = todo.select("content_hash", "text").mapInPandas(run, "content_hash string, vector array<double>")
+        made.select("content_hash", F.lit(model).alias("model"), F.size("vector").alias("dimension"), unit(F.col("vector")).cast("array<float>").alias("vector")).write.mode("append").parquet(str(self._folder(project) / "vectors" / model))
         return self.coverage(project, model)
 
+    def question_vector(self, model: str, question: str, encode) -> list[float]:
+        """The question's vector, made once for each model."""
+        name = hashlib.sha256(f"{model}\0{question}".encode()).hexdigest()
+        path = self.home / "questions" / f"{name}.json"
+        if path.exists():
+            return json.loads(path.read_text("utf-8"))
+        vector = [float(x) for x in encode([question])[0]]
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(json.dumps(vector), "utf-8")
+        return vector
+
     def coverage(self, project: str, model: str) -> dict:
         return L.coverage(self.table(project, "chunks"), self.vectors(project, model), "chunk_id", "chunk_id").first().asDict()
 

@@ -82,3 +82,14 @@ def test_hunks():
     diff = "+++ b/a.ts\n@@ -57 +57 @@\n@@ -71,2 +70,0 @@\n--- a/b.ts\n+++ /dev/null\n@@ -1,3 +0,0 @@\n"
     assert git.new_ranges(diff) == [("a.ts", 57, 57), ("a.ts", 70, 70), ("a.ts", 0, 0)]
     assert git.old_ranges(diff) == [(57, 57), (71, 72), (1, 3)]
+
+def test_deeply_nested_files_do_not_fail():
+    chain = "x = a" + ".b" * 3000 + "()\n"
+    total = "def f():\n    return " + " + ".join(f"g({k})" for k in range(5000)) + "\n"
+    for text in (chain, total):
+        found = extract_python.extract("deep.py", text)
+        assert found is None or found[0]
+    assert extract_python.extract("deep.py", total)[0][1]["name"] == "f"
+    with extract_python.deep():
+        symbols, _ = extract_ts.extract("deep.tsx", "function Deep() { return " + "<a>" * 3000 + "</a>" * 3000 + " }")
+    assert [s["name"] for s in symbols if s["kind"] == "function"] == ["Deep"]

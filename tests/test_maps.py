@@ -97,6 +97,12 @@ def test_hybrid_retrieval(store):
     assert store.embed("shop", "toy", encode)["semantic_coverage"] == 1.0
     hits, used, failed = maps.retrieve(store, "shop", "conflict", 5, "auto", model="toy", encode=encode)
     assert used == "hybrid" and failed is None and "conflict" in hits[0].content.lower()
+    asked = []
+    assert store.question_vector("toy", "conflict", lambda texts: asked.append(texts)) == [1.0, 0.0, 1.0] and not asked
+    # A file that moves keeps no chunk, but texts are known by their content.
+    texts = {r["text"] for r in store._documents("shop").collect()}
+    assert all(t.startswith("Project: shop\nFile: ") for t in texts)
+    assert store._cached("shop", "toy").count() == len(texts) and store.embed("shop", "toy", None)["semantic_coverage"] == 1.0
     with pytest.raises(RuntimeError):
         maps.retrieve(store, "shop", "conflict", 5, "code")
 
