@@ -125,6 +125,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, keep_id, group_size, kept, text_sha256; null and empty texts are equal."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 

@@ -232,6 +232,7 @@ def near_vectors(
 
 
 def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vector: vec_id, n_links, component_id, kept; null, zero and non-finite vectors have no links."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 

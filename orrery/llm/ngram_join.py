@@ -35,7 +35,7 @@ from .exact_dedup import tree_merge
 WORDS = 5
 #: Similarity as a fraction: linked when PER * shared >= LEAST * union.
 LEAST, PER = 80, 100
-DOCS_PER_CHUNK, GRAMS_PER_CHUNK = 2000, 1 << 21
+DOCS_PER_CHUNK, GRAMS_PER_CHUNK, BYTES_PER_CHUNK = 2000, 1 << 21, 16 << 20
 ENTRIES_PER_BUCKET = 1 << 20
 LEAST_CHUNKS = LEAST_BUCKETS = 64
 LARGEST_BOUNDARY = 16
@@ -393,7 +393,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = bounded(docs).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     found = cut(_classes(rows, words))
     total, grams = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
-    chunks = max(LEAST_CHUNKS, _ceil(total, DOCS_PER_CHUNK), _ceil(grams, GRAMS_PER_CHUNK))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
+    chunks = max(LEAST_CHUNKS, _ceil(total, DOCS_PER_CHUNK), _ceil(grams, GRAMS_PER_CHUNK), _ceil(size, BYTES_PER_CHUNK))
     chunk = F.pmod(F.xxhash64("_id"), F.lit(chunks)).alias("_chunk")
     member = cut(tree_merge(found.where("_id IS NOT NULL AND _n > 0"), ["_n", "_a", "_b"], keep="min", rows=total))
     classes = member.where("_id = _keep").select("_id", "_n", "_first").distinct()
@@ -409,6 +410,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id; null, empty and blank texts have 0 shingles and are components of their own."""
     return ngram_components(table(spark, sf_dir, "documents"))
 
 

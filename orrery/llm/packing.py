@@ -159,6 +159,7 @@ def packed_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; null and empty texts are their end token alone."""
     import public_tokenizers
 
     return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)

@@ -121,11 +121,15 @@ def find_pii(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> D
     Places count code points, stop exclusive; kind is the place in KINDS. Within a kind, matches are leftmost and don't
     overlap, and a match that its validator refuses is dropped; spans of different kinds may overlap. Confirmed spans
     of the base kinds always stay, whatever their score; an IBAN needs mod-97 and an SSN needs words near it. Null
-    text counts as empty and gives an empty array. A column named out_col is replaced; all other columns stay.
+    text counts as empty and gives an empty array. A column named out_col is replaced; all other columns stay, whatever
+    their names. Rows that repeat an id are searched each; very long texts cost in proportion. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rest = [k for k in docs.columns if k != out_col]
-    own = {kind: f"__pii_{kind}" for kind in KINDS}
+    prefix = "__pii_"
+    while any(k.startswith(prefix) for k in docs.columns):
+        prefix = f"_{prefix}"
+    own = {kind: f"{prefix}{kind}" for kind in KINDS}
     none = F.expr("CAST(array() AS ARRAY<STRING>)")
 
     def proposed(kind: str) -> Column:
@@ -161,16 +165,18 @@ def mask(docs: DataFrame, text_col: str = "text", spans_col: str = "pii") -> Dat
 
 
 def pii_digests(found: DataFrame, id_col: str = "doc_id", spans_col: str = "pii") -> DataFrame:
+    """Per row: its id, counts of the base kinds, base_sha256, spans and n_spans (of all kinds). Without spans these are 0 and empty."""
     spans = F.col(spans_col)
 
     def count(kind: str) -> Column:
         return F.size(F.filter(spans, lambda x: x["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
 
     base = F.filter(spans, lambda x: x["kind"] < len(BASE_KINDS))
-    return found.select(id_col, *map(count, BASE_KINDS), F.sha2(_named(base), 256).alias("base_sha256"), _named(spans).alias("spans"))
+    return found.select(id_col, *map(count, BASE_KINDS), F.sha2(_named(base), 256).alias("base_sha256"), _named(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of every document; null and empty texts have no spans."""
     return pii_digests(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
@@ -198,8 +204,8 @@ each AS (SELECT doc_id, t, kind, unnest(range(1, len(ms) + 1)) AS k, ms, gs FROM
 placed AS (SELECT doc_id, t, kind, ms[k] AS m, regexp_replace(ms[k], '[^0-9]', '', 'g') AS d,
   (list_sum(list_transform(gs[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0))::BIGINT AS s FROM each),
 sure AS (SELECT doc_id, kind, s, m FROM placed WHERE CASE kind {checks} END),
-own AS (SELECT doc_id, {counts}, string_agg({one}, ',' ORDER BY s, kind) FILTER (kind < {len(BASE_KINDS)}) AS base, string_agg({one}, ',' ORDER BY s, kind) AS spans FROM sure GROUP BY doc_id)
-SELECT doc_id, {", ".join(f"coalesce(n_{x}, 0) AS n_{x}" for x in BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+own AS (SELECT doc_id, {counts}, string_agg({one}, ',' ORDER BY s, kind) FILTER (kind < {len(BASE_KINDS)}) AS base, string_agg({one}, ',' ORDER BY s, kind) AS spans, count(*) AS n_spans FROM sure GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{x}, 0) AS n_{x}" for x in BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_spans, 0) AS n_spans
 FROM docs LEFT JOIN own USING (doc_id)
 """
 

@@ -256,7 +256,11 @@ def model(path: str) -> Model:
 
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """``docs`` with ``out_col``, the ids of the text; null and empty text have none. Other columns stay; one named out_col is replaced."""
+    """``docs`` with ``out_col``, the ids of the text; null and empty text have none.
+
+    Other columns stay; one named out_col is replaced. Repeated rows are encoded each; very long texts cost in proportion
+    to their distinct words. An empty table gives no rows.
+    """
 
     @F.pandas_udf("array<int>")
     def run(texts):
@@ -269,7 +273,10 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: st
 
 
 def decode(tokens: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``tokens`` with ``out_col``, the text that the ids give; null ids give null."""
+    """``tokens`` with ``out_col``, the text that the ids give; null ids give null, no ids empty text.
+
+    Other columns stay; one named out_col is replaced. An id outside the vocabulary is an error. An empty table gives no rows.
+    """
 
     @F.pandas_udf("string")
     def run(ids):
@@ -304,6 +311,7 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_ids, ids_crc32, decoded_sha256, same; null and empty texts have no ids."""
     import public_tokenizers
 
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -65,6 +65,28 @@ def test_equals_brute_force(spark, monkeypatch, long):
     assert len(links) > 50 and got == want
 
 
+@pytest.mark.parametrize("boundary", [12])
+def test_subsets_find_the_links_of_small_sets(spark, monkeypatch, boundary):
+    # Whatever the costs say: sets of up to twelve n-grams through their subsets, the others through lists.
+    monkeypatch.setattr(J, "boundary_by_cost", lambda *_: boundary)
+    rng = random.Random(12)
+    rows = []
+    for k in range(40):
+        words = [rng.choice("abcdefghijklmnopqrstuvwxyz") * 2 for _ in range(rng.randrange(8, 24))]
+        for j in range(4):
+            own = words[: len(words) - rng.randrange(2)] + ["end"] * rng.randrange(2)
+            rows.append((4 * k + j, " ".join(own)))
+    rows += [(1000, rows[0][1]), (1000, "another text with this id here"), (1001, "another text with this id here now")]
+    unique = [r for r in rows if r[0] < 1000]
+    want, links = brute(unique)
+    small = [(a, b) for a, b in links if max(want[a][0], want[b][0]) <= boundary and unique[a][1] != unique[b][1]]
+    assert small
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.ngram_components(spark.createDataFrame(unique, "doc_id long, text string")).collect()}
+    assert got == want
+    again = J.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(again) == len(rows) and {r["component_id"] for r in again if r["doc_id"] == 1000} == {want[0][1]}
+
+
 def test_null_ids_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, None)], "doc_id long, text string")
     got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in J.ngram_components(docs).collect()))

@@ -47,3 +47,14 @@ def test_empty_and_odd_rows(spark):
             if name == "exact_dedup" and rows:
                 assert sorted(r["doc_id"] for r in docs.collect()) == [2, 3]
         assert (docs.count() > 0) == bool(rows)
+
+
+def test_columns_of_any_name(spark):
+    rows = [(k, f"words of number {k} and more of them here a.b{k}@c.de", "en", "s", 40, "a", 1, "b", "c", "d") for k in range(6)]
+    names = ["_toxicity", "_row", "_pii", "_text", "__pii_email"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _toxicity string, _row int, _pii string, _text string, __pii_email string")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, DATA)
+        assert docs.columns[5:] == names, name
+    got = docs.collect()
+    assert len(got) == 6 and all(tuple(r)[5:] == ("a", 1, "b", "c", "d") and "<EMAIL>" in r["text"] for r in got)

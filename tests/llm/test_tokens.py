@@ -1,5 +1,6 @@
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -132,6 +133,18 @@ def test_automaton_is_greedy_matching():
         assert count.tolist() == [greedy(w, initial, continuing) for w in words]
 
 
+def test_long_words_count_as_others_do():
+    rng = random.Random(9)
+    initial, continuing = {b" a", b" ab", b" "}, {bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 5))) for _ in range(30)}
+    words = [b" " + bytes(rng.choice(b"abc") for _ in range(n)) for n in (1, 255, 256, 257, 1000)] + [b" " + b"a" * 700 + b"x", b"x" * 300]
+    own = C.Matcher(initial, continuing)
+    count, dead = own.counts(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in words])]))
+    assert count.tolist() == [greedy(w, initial, continuing) for w in words] and dead.tolist()[-2:] == [True, True]
+    began = time.perf_counter()
+    own.counts(np.frombuffer(b" " + b"ab" * 500_000, np.uint8), np.array([0, 1_000_001]))
+    assert time.perf_counter() - began < 10
+
+
 def test_counts_are_word_pieces():
     initial, continuing = (set(x) for x in C.byte_bpe_pieces(BPE))
     vocabulary = {"[UNK]": 0}
