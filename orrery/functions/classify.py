@@ -11,6 +11,7 @@ CONFIG_PREFIXES = "tsconfig|jest\\.config|vitest\\.config|vite\\.config"
 ROOT_DOCUMENTS = ["readme.md", "contributing.md", "code_of_conduct.md"]
 CHANGE_LOGS = ["changelog.md", "history.md", "changes.md"]
 TEST_FOLDERS = "test|tests|spec|specs|__tests__"
+# The reasons that a file's row carries, which readers of the tables know.
 REASONS = {
     "historical documents": "File under historical documentation",
     "generated": "Types generated from the Supabase schema",

@@ -112,6 +112,16 @@ def chunk_lines(docs: DataFrame, text_col: str, size: int = 80, overlap: int = 1
     return own.select(*rest, (F.col("_at") + 1).alias("start_line"), (F.col("_at") + F.size(part)).alias("end_line"), F.array_join(part, "\n").alias("content"))
 
 
+# Fixed value: what marks the end of a text that models read in part.
+TRUNCATED = "\n[TRUNCATED LONG GENERATED OR MINIFIED CONTENT]"
+
+
+def embedded_text(project: str, path: Column, content: Column, most: int) -> Column:
+    """What an embedding model reads of a chunk: where it is from and up to ``most`` characters; a longer one says where it was cut."""
+    part = F.when(F.length(content) > most, F.concat(F.substring(content, 1, most), F.lit(TRUNCATED))).otherwise(content)
+    return F.concat(F.lit(f"Project: {project}\nFile: "), path, F.lit("\n"), part)
+
+
 def like_anywhere(column: Column, name: str, prefix: bool = False) -> Column:
     """Case-insensitive LIKE in which the name's own % and _ are wildcards and a backslash is none."""
     pattern = name.lower().replace("\\", "\\\\")

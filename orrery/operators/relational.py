@@ -111,6 +111,12 @@ def rename_candidates(removed: DataFrame, added: DataFrame, shape: list[str], pa
     return pairs.withColumn("change", F.when(same_path & ~same, "rename_candidate").when(~same_path & same, "move_candidate").otherwise("identity_replacement_candidate"))
 
 
+def digests_by_key(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """key and digest: SHA-256 over the sorted digests of the key's rows as JSON objects of ``columns``, whatever their order."""
+    own = rows.select(key, F.sha2(F.to_json(F.struct(*columns)), 256).alias("_h"))
+    return own.groupBy(key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ","), 256).alias("digest"))
+
+
 def numbered(rows: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
     """``rows`` with ``name``, the place of a row among those of the same key, from 0."""
     return rows.withColumn(name, F.row_number().over(W.partitionBy(*key).orderBy(*order)) - 1)

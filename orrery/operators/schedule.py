@@ -14,9 +14,8 @@ def schedules(spark: SparkSession, scenarios: DataFrame, trials: int, budget: in
     if not 1 <= budget <= scenarios.count():
         raise ValueError("budget must be between one and the number of scenarios")
     rated = scenarios.select("id", "path").withColumn("score", F.lit(0.0)) if scores is None else scenarios.select("id", "path").join(scores.select("path", "score"), "path", "left").fillna(0.0, ["score"])
-    seeds = spark.range(trials).withColumnRenamed("id", "seed")
-    # Every scenario is replayed under every seed; scenarios are few and given by hand.
-    rows = seeds.crossJoin(F.broadcast(rated)).withColumn("_key", F.sha2(F.concat_ws(":", F.col("seed").cast("string"), "id"), 256))
+    # Every scenario is replayed under every seed.
+    rows = rated.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)).cast("array<long>"))).withColumn("_key", F.sha2(F.concat_ws(":", F.col("seed").cast("string"), "id"), 256))
     window = W.partitionBy("seed").orderBy(F.desc("score"), "_key")
     return rows.withColumn("position", F.row_number().over(window)).where(F.col("position") <= budget).select("seed", "position", "id")
 
@@ -26,7 +25,7 @@ def replay(chosen: DataFrame, outcomes: DataFrame, budget: int) -> DataFrame:
 
     outcomes: id, introduced_failure.
     """
-    hits = chosen.join(F.broadcast(outcomes.select("id", "introduced_failure")), "id")
+    hits = chosen.join(outcomes.select("id", "introduced_failure"), "id")
     per_seed = hits.groupBy("seed").agg(F.min(F.when(F.col("introduced_failure"), F.col("position"))).alias("_first"), F.count_if("introduced_failure").alias("_found"))
     return per_seed.agg(
         F.count(F.lit(1)).alias("trials"),

@@ -14,6 +14,7 @@ from .functions import vocabulary as V
 from .operators import graph as G
 from .operators import ranking as R
 from .operators import relational as L
+from .operators import schedule as S
 from .plans import expand as E
 from .plans import twin as T
 from .queries import ORACLES, SHAPES, _authority, _edges, _query, _read
@@ -186,6 +187,57 @@ def occurrence_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.numbered(rows, ["user_id", "event_type"], ["ts", "event_id"], "occurrence").select("event_id", "user_id", "event_type", F.col("occurrence").cast("long").alias("occurrence"))
 
 
+@_query(
+    f"""
+WITH t AS (SELECT doc_id, 'Project: shop' || chr(10) || 'File: ' || source || '/' || doc_id || chr(10) || CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || chr(10) || '{X.TRUNCATED.strip()}' ELSE text END AS x FROM documents)
+SELECT doc_id, length(x) AS n, sha256(x) AS content_hash FROM t
+"""
+)
+def embedded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    text = X.embedded_text("shop", F.concat_ws("/", "source", F.col("doc_id").cast("string")), F.col("text"), 400)
+    return docs.select("doc_id", text.alias("x")).select("doc_id", F.length("x").cast("long").alias("n"), F.sha2("x", 256).alias("content_hash"))
+
+
+@_query(
+    """
+WITH r AS (SELECT p_brand, sha256('{"p_name":"' || p_name || '","p_type":"' || p_type || '","p_size":' || p_size || '}') AS h FROM part)
+SELECT p_brand, sha256(string_agg(h, ',' ORDER BY h)) AS digest FROM r GROUP BY p_brand
+"""
+)
+def path_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.digests_by_key(_read(spark, sf_dir, "part"), "p_brand", ["p_name", "p_type", "p_size"])
+
+
+_SUPPLIERS_SQL = """
+s AS (SELECT 's' || s_suppkey AS id, s_suppkey % 9 = 0 AS bad, CASE WHEN s_suppkey % 2 = 0 THEN round(s_acctbal / 1000) ELSE 0.0 END AS score FROM supplier),
+r AS (SELECT seed, id, bad, row_number() OVER (PARTITION BY seed ORDER BY score DESC, sha256(seed || ':' || id)) AS position FROM range(60) t(seed), s)"""
+
+
+@_query(
+    f"""
+WITH {_SUPPLIERS_SQL}, g AS (SELECT seed, min(position) FILTER (bad) AS first, count(*) FILTER (bad) AS found FROM r WHERE position <= 9 GROUP BY seed)
+SELECT count(*) AS trials, round(count(first) / count(*)::DOUBLE, 6) AS detection_rate, round(avg(coalesce(first, 9)), 6) AS mean_checks, round(sum(found) / (count(*) * 9)::DOUBLE, 6) AS yield_rate FROM g
+"""
+)
+def schedule_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schedules over as many scenarios as there are suppliers, ranked by a score that many share."""
+    rows, scores = _scenarios(spark, sf_dir)
+    return S.replay(S.schedules(spark, rows, 60, 9, scores), rows, 9)
+
+
+@_query(f"WITH {_SUPPLIERS_SQL} SELECT seed, position, id FROM r WHERE position <= 9")
+def schedule_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, scores = _scenarios(spark, sf_dir)
+    return S.schedules(spark, rows, 60, 9, scores).select("seed", F.col("position").cast("long").alias("position"), "id")
+
+
+def _scenarios(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    suppliers = _read(spark, sf_dir, "supplier")
+    rows = suppliers.selectExpr("concat('s', s_suppkey) AS id", "concat('p', s_suppkey) AS path", "s_suppkey % 9 = 0 AS introduced_failure")
+    return rows, suppliers.where("s_suppkey % 2 = 0").selectExpr("concat('p', s_suppkey) AS path", "round(s_acctbal / 1000) AS score")
+
+
 # Variants of the graph
 
 _KINDS = ["calls", "imports", "reads_table", "calls_rpc", "invokes_edge_function", "calls_sql"]

@@ -164,9 +164,9 @@ def chunks(spark: SparkSession, root: Path | str, names: list[str], size: int =
 
 def graph_digest(symbols: DataFrame, edges: DataFrame) -> str:
     """SHA-256 over all symbols and edges, whatever their order."""
-    rows = symbols.select(F.col("path").alias("_p"), F.sha2(F.to_json(F.struct(*SYMBOL[1:])), 256).alias("_h")).unionByName(edges.select(F.col("source_path").alias("_p"), F.sha2(F.to_json(F.struct(*EDGE[1:])), 256).alias("_h")))
-    by_path = rows.groupBy("_p").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ","), 256).alias("_h")).orderBy("_p")
-    return hashlib.sha256(json.dumps([[r["_p"], r["_h"]] for r in by_path.toLocalIterator()]).encode()).hexdigest()
+    parts = (L.digests_by_key(symbols, "path", SYMBOL[1:]), L.digests_by_key(edges.withColumnRenamed("source_path", "path"), "path", [c for c in EDGE[1:] if c != "source_path"]))
+    by_path = parts[0].withColumn("_part", F.lit(0)).unionByName(parts[1].withColumn("_part", F.lit(1))).orderBy("path", "_part")
+    return hashlib.sha256(json.dumps([list(r) for r in by_path.toLocalIterator()]).encode()).hexdigest()
 
 
 __all__ = ["chunks", "decoded", "extract_rows", "extractor_version", "generation_id", "git", "graph_digest", "linked_edges", "read_files", "structure"]

@@ -16,14 +16,13 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import embedded_text
 from ..operators import relational as L
 from . import git, ingest
 from .registry import Registry
 
 #: Models read so many characters of a chunk; a longer one says where it ends.
 MOST_EMBEDDED = 16_000
-# Fixed value: what marks its end.
-TRUNCATED = "\n[TRUNCATED LONG GENERATED OR MINIFIED CONTENT]"
 CHUNK_KEY = ["path", "start_line", "end_line", "content"]
 
 
@@ -115,9 +114,7 @@ class Store:
 
     def _documents(self, project: str) -> DataFrame:
         """chunk_id, text and content_hash (of the text) of every chunk, as models read it."""
-        content, most = F.col("content"), MOST_EMBEDDED
-        part = F.when(F.length(content) > most, F.concat(F.substring(content, 1, most), F.lit(TRUNCATED))).otherwise(content)
-        text = F.concat(F.lit(f"Project: {project}\nFile: "), "path", F.lit("\n"), part)
+        text = embedded_text(project, F.col("path"), F.col("content"), MOST_EMBEDDED)
         return self.table(project, "chunks").select("chunk_id", text.alias("text")).withColumn("content_hash", F.sha2("text", 256))
 
     def _cached(self, project: str, model: str) -> DataFrame:
