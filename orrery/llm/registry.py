@@ -6,6 +6,7 @@ from . import exact_dedup, lattice, line_dedup, ngram_join, packing, pii, senten
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece.op1_sentencepiece,
+    "op1_viterbi": sentencepiece.op1_viterbi,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_warc": warc.op4_warc,

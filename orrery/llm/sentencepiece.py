@@ -32,7 +32,7 @@ UNKNOWN_PENALTY = 10.0
 UNKNOWN_SURFACE = " ⁇ "
 CACHED_WORDS = 300_000
 
-_models: dict[str, "Model"] = {}
+_models: dict[tuple[str, int | None], "Model"] = {}
 
 
 def _message(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -62,9 +62,9 @@ def _message(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class Model:
-    """A model file's pieces, and the segmentation of words by it."""
+    """A model file's pieces, and the segmentation of words by it: as the file says, or as ``kind`` does (UNIGRAM takes any file's scores)."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, kind: int | None = None):
         self.pieces, self.scores, self.kinds = [], [], []
         trainer, normalizer = {}, {}
         for field, value in _message(data):
@@ -77,7 +77,7 @@ class Model:
                 trainer = dict(_message(value))
             elif field == 3:
                 normalizer = dict(_message(value))
-        self.kind = trainer.get(3, UNIGRAM)
+        self.kind = kind or trainer.get(3, UNIGRAM)
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models are supported")
         if USER_DEFINED in self.kinds:
@@ -248,11 +248,11 @@ class Model:
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
-def model(path: str) -> Model:
-    if path not in _models:
+def model(path: str, kind: int | None = None) -> Model:
+    if (path, kind) not in _models:
         with open(path, "rb") as file:
-            _models[path] = Model(file.read())
-    return _models[path]
+            _models[path, kind] = Model(file.read(), kind)
+    return _models[path, kind]
 
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
@@ -285,7 +285,7 @@ def decode(tokens: DataFrame, model_path: str, ids_col: str = "ids", out_col: st
     return bounded(tokens).withColumn(out_col, run(F.col(ids_col)))
 
 
-def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", kind: int | None = None) -> DataFrame:
     """One row per document: id, n_ids, ids_crc32 (of the ids as little-endian 32-bit numbers), decoded_sha256 (of the decoded text), same (whether that is the text).
 
     Null text counts as empty. Rows that repeat an id and null ids are rows like others; other columns aren't looked at. An
@@ -295,7 +295,7 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     import zlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model(model_path)
+        own = model(model_path, kind)
         for batch in batches:
             for part in _slices(batch, 1):
                 texts = [x or "" for x in part.column(1).to_pylist()]
@@ -315,3 +315,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op1_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the file's pieces and scores as a unigram model: the segmentation of the highest score, by Viterbi proper."""
+    import public_tokenizers
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), kind=UNIGRAM)

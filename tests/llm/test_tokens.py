@@ -104,6 +104,30 @@ def test_viterbi_is_the_librarys(byte_fallback):
     assert same > 0.6 * len(given)
 
 
+def test_viterbi_over_the_public_pieces():
+    with open(PIECES, "rb") as file:
+        own = S.Model(file.read(), S.UNIGRAM)
+    longest = max(map(len, own.id))
+
+    def best(marked):
+        """The highest score of a segmentation, by a plain table over all substrings."""
+        at = [0.0] + [-float("inf")] * len(marked)
+        for end in range(1, len(marked) + 1):
+            for begin in range(max(0, end - longest), end):
+                piece = marked[begin:end]
+                if piece in own.id or len(piece) == 1:
+                    at[end] = max(at[end], at[begin] + (own.scores[own.id[piece]] if piece in own.id else own.floor))
+        return at[-1]
+
+    given = [x for x in ["", "a", "the unbelievable thing", "na\u00efve things", *texts(25, 11)] if len(x) < 500]
+    for text, ids in zip(given, own.encode(given)):
+        marked = own.normalise(text)
+        words = ["".join(w) for w in own.words(marked)]
+        got = sum(own.scores[own.id[p]] if p in own.id else own.floor for w, pieces in own.segment(sorted(set(words))) for p in pieces * words.count(w))
+        assert got == pytest.approx(best(marked), rel=1e-9), text
+        assert own.decode(ids) == text.replace("▁", " ")
+
+
 def test_columns_of_pieces(spark):
     docs = spark.createDataFrame([(1, "a bc", "x"), (2, None, "x"), (3, "", "x")], "doc_id long, text string, ids string")
     rows = S.decode(S.encode(docs, PIECES), PIECES).orderBy("doc_id").collect()
